@@ -1,6 +1,7 @@
 """What the operators share: materialising, word splitting and the like."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,18 @@ def discard(df: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+@contextmanager
+def cleaned_shuffles(spark: SparkSession):
+    """Inside, a finished query's shuffle files go at once, not when the driver next collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def let(value, body):
     """Bind a column value once inside an expression, so lambdas in body do not compute it again."""
     return F.transform(F.array(value), body)[0]

@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from colpack.llm import byte_bpe, packing, token_counts
+from colpack.llm import byte_bpe, packing, simhash, token_counts
 from colpack.llm.common import documents
 
 
@@ -14,9 +14,13 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries():
-    return {f.__name__: f for f in (op3_byte_bpe, op4_best_fit_packing, op7_token_counts)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_best_fit_packing, op6_simhash_near_dedup, op7_token_counts)}
