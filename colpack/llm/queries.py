@@ -2,10 +2,14 @@
 
 import public_tokenizers
 
-from colpack.llm import byte_bpe, packing, simhash, token_counts
+from colpack.llm import byte_bpe, packing, quality, simhash, token_counts
 from colpack.llm.common import documents
 
 
+def op2_quality_rules(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir))
+
+
 def op3_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -23,4 +27,4 @@ def op7_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_byte_bpe, op4_best_fit_packing, op6_simhash_near_dedup, op7_token_counts)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_byte_bpe, op4_best_fit_packing, op6_simhash_near_dedup, op7_token_counts)}
