@@ -18,6 +18,8 @@ MIN_WORDS = 50
 ROUNDS = 100
 #: Evidence of one vote at most, and share of either class at least: nothing is certain.
 MOST, LEAST = 8.0, 0.05
+#: Accuracy that a rule is believed to have before its votes are compared.
+BEFOREHAND = 0.9
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_upper")
 
@@ -34,14 +36,15 @@ def rules() -> dict[str, Column]:
     """name -> vote, over the measures of a document."""
     word, symbols, dup = _ratio("word_chars", "n_words"), _ratio("n_symbols", "n_words"), _ratio("n_dup_lines", "n_lines")
     repeat, upper, ended = _ratio("n_repeat_words", "n_words"), _ratio("n_upper", "word_chars"), _ratio("n_ended_lines", "n_lines")
+    no = F.lit(False)
     return {
-        "length": _vote(F.col("n_words") >= 2 * MIN_WORDS, F.col("n_words") < MIN_WORDS),
-        "word_length": _vote(word.between(3, 10), (word < 2.5) | (word > 14)),
-        "symbols": _vote(symbols < 0.01, symbols > 0.1),
-        "dup_lines": _vote(dup < 0.05, dup > 0.3),
-        "repeats": _vote(repeat < 0.1, repeat > 0.3),
-        "upper_case": _vote(upper < 0.15, upper > 0.4),
-        "ended_lines": _vote(ended >= 0.6, ended < 0.1),
+        "length": _vote(F.col("n_words") >= 2 * MIN_WORDS, no),
+        "prose": _vote(word.between(3, 10) & (ended >= 0.6), (word < 2.5) | (word > 14)),
+        "symbols": _vote(no, symbols > 0.1),
+        "dup_lines": _vote(no, dup > 0.4),
+        "repeats": _vote(no, repeat > 0.4),
+        "upper_case": _vote(no, upper > 0.4),
+        "open_lines": _vote(no, ended < 0.1),
     }
 
 
@@ -87,26 +90,26 @@ def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
 def fit(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
     """(share of good, for each rule the evidence of a good and of a bad vote) by expectation-maximisation.
 
-    Given the class, rules vote independently; the model has, for each rule and class, how often it votes
-    good and bad.  Evidence is the logarithm of how much more often good documents get the vote than bad
-    ones, that is, of its accuracy; rules are taken to be better than chance, so a good vote never counts
-    against a document nor a bad vote for it.  It starts from unanimity: one bad vote makes a document
-    suspect.  Without rows the evidence is zero.
+    A vote's accuracy is the share of its documents that are of the class it names.  As many documents
+    as it has are added beforehand at accuracy BEFOREHAND: rules are written to be right, and one whose
+    finds no other rule shares would else count for nothing.  Evidence is the log odds of the accuracy
+    against those of the class as such; a good vote never counts against a document nor a bad vote for it.
+    Without rows the evidence is zero.
     """
     total = sum(patterns.values())
     if not total:
         return 0.5, [(0.0, 0.0)] * len(rules())
     rows = sorted(patterns.items())
-    good = {votes: 0.1 if -1 in votes else 0.9 for votes in patterns}
+    good = {votes: 1 - BEFOREHAND if -1 in votes else BEFOREHAND for votes in patterns}
+    odds = lambda p: math.log(p / (1 - p))
     share, evidence = 0.5, []
     for _ in range(rounds):
-        mass = [sum(n * (good[v] if y else 1 - good[v]) for v, n in rows) for y in (0, 1)]
+        share = min(1 - LEAST, max(LEAST, sum(n * good[v] for v, n in rows) / total))
         was, evidence = evidence, []
         for j in range(len(rows[0][0])):
-            # one document of each class and vote beforehand
-            rate = {(vote, y): (1 + sum(n * (good[v] if y else 1 - good[v]) for v, n in rows if v[j] == vote)) / (3 + mass[y]) for vote in (1, -1) for y in (0, 1)}
-            evidence.append((min(MOST, max(0.0, math.log(rate[1, 1] / rate[1, 0]))), max(-MOST, min(0.0, math.log(rate[-1, 1] / rate[-1, 0])))))
-        share = min(1 - LEAST, max(LEAST, mass[1] / total))
+            right = {vote: (sum(n * (good[v] if vote > 0 else 1 - good[v]) for v, n in rows if v[j] == vote), sum(n for v, n in rows if v[j] == vote)) for vote in (1, -1)}
+            sure = {vote: (r + BEFOREHAND * (n + 1)) / (2 * n + 1) for vote, (r, n) in right.items()}
+            evidence.append((min(MOST, max(0.0, odds(min(sure[1], 1 - 1e-6)) - odds(share))), max(-MOST, min(0.0, odds(1 - min(sure[-1], 1 - 1e-6)) - odds(share)))))
         good = {votes: posterior(votes, share, evidence) for votes in patterns}
         if was and max(abs(x - y) for a, b in zip(was, evidence) for x, y in zip(a, b)) < 1e-9:
             break
