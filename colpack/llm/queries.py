@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from colpack.llm import byte_bpe, packing, quality, simhash, token_counts
+from colpack.llm import byte_bpe, licenses, packing, quality, secrets, simhash, token_counts
 from colpack.llm.common import documents
 
 
@@ -26,5 +26,14 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_license_scans(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op10_secret_scans(spark, sf_dir):
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_quality_rules, op3_byte_bpe, op4_best_fit_packing, op6_simhash_near_dedup, op7_token_counts)}
+    found = (op2_quality_rules, op3_byte_bpe, op4_best_fit_packing, op6_simhash_near_dedup, op7_token_counts, op8_license_scans, op10_secret_scans)
+    return {f.__name__: f for f in found}
