@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from colpack.llm import byte_bpe, licenses, packing, quality, secrets, simhash, token_counts
+from colpack.llm import byte_bpe, licenses, packing, pii, quality, secrets, simhash, token_counts
 from colpack.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_pii_pseudonyms(spark, sf_dir):
+    return pii.pseudonymize(documents(spark, sf_dir))
+
+
 def op6_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -35,5 +39,5 @@ def op10_secret_scans(spark, sf_dir):
 
 
 def queries():
-    found = (op2_quality_rules, op3_byte_bpe, op4_best_fit_packing, op6_simhash_near_dedup, op7_token_counts, op8_license_scans, op10_secret_scans)
+    found = (op2_quality_rules, op3_byte_bpe, op4_best_fit_packing, op5_pii_pseudonyms, op6_simhash_near_dedup, op7_token_counts, op8_license_scans, op10_secret_scans)
     return {f.__name__: f for f in found}
