@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from colpack.llm import byte_bpe, licenses, packing, pii, quality, secrets, simhash, token_counts
+from colpack.llm import byte_bpe, licenses, packing, passages, pii, quality, secrets, simhash, token_counts
 from colpack.llm.common import documents
 
 
@@ -34,10 +34,14 @@ def op8_license_scans(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op10_secret_scans(spark, sf_dir):
     return secrets.scan(documents(spark, sf_dir))
 
 
 def queries():
-    found = (op2_quality_rules, op3_byte_bpe, op4_best_fit_packing, op5_pii_pseudonyms, op6_simhash_near_dedup, op7_token_counts, op8_license_scans, op10_secret_scans)
+    found = (op2_quality_rules, op3_byte_bpe, op4_best_fit_packing, op5_pii_pseudonyms, op6_simhash_near_dedup, op7_token_counts, op8_license_scans, op9_substring_dedup, op10_secret_scans)
     return {f.__name__: f for f in found}
