@@ -2,10 +2,15 @@
 
 import public_tokenizers
 
-from colpack.llm import byte_bpe, licenses, packing, passages, pii, quality, secrets, simhash, token_counts
+from colpack.llm import audio, byte_bpe, licenses, packing, passages, pii, quality, secrets, simhash, token_counts
 from colpack.llm.common import documents
 
 
+def op1_chroma_fingerprints(spark, sf_dir):
+    """The tables hold no recordings, so the whole texts' bytes are taken for 8-bit samples."""
+    return audio.align_recordings(documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir))
 
@@ -43,5 +48,5 @@ def op10_secret_scans(spark, sf_dir):
 
 
 def queries():
-    found = (op2_quality_rules, op3_byte_bpe, op4_best_fit_packing, op5_pii_pseudonyms, op6_simhash_near_dedup, op7_token_counts, op8_license_scans, op9_substring_dedup, op10_secret_scans)
+    found = (op1_chroma_fingerprints, op2_quality_rules, op3_byte_bpe, op4_best_fit_packing, op5_pii_pseudonyms, op6_simhash_near_dedup, op7_token_counts, op8_license_scans, op9_substring_dedup, op10_secret_scans)
     return {f.__name__: f for f in found}
