@@ -121,6 +121,15 @@ def links(different: DataFrame, distance: int = 4) -> DataFrame:
     return found
 
 
+def class_components(classes: DataFrame, distance: int, least: str) -> DataFrame:
+    """(fp, component): for every fingerprint of classes (fp, least), the least value that links reach."""
+    roots = components(links(classes.select("fp"), distance))
+    named = classes.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", least, F.coalesce("root", "fp").alias("root"))
+    named = materialize(named, "named")
+    first = materialize(named.groupBy("root").agg(F.min(least).alias("component")), "firsts")
+    return materialize(named.join(first, "root").select("fp", "component"), "components")
+
+
 def near_duplicates(df: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) of every row.
 
@@ -131,10 +140,35 @@ def near_duplicates(df: DataFrame, distance: int = 4, shingle: int = 4, id_col:
     """
     with cleaned_shuffles(df.sparkSession):
         rows = materialize(fingerprints(df, shingle, id_col=id_col, text_col=text_col), "fingerprints")
-        classes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least_id")), "classes")
-        roots = components(links(classes.select("fp"), distance))
-        named = classes.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-        named = materialize(named, "named")
-        least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-        classes_named = materialize(named.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(classes_named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        classes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
+        named = class_components(classes, distance, "least")
+    return rows.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def keep_one(df: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each component: that of the smallest id, of equal ones the first in table order.
+
+    A component of null ids alone keeps its first row.  Columns and their names stay as they are.
+    """
+    own = df.schema
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        rid = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            rows = batch.column(0)
+            found = np.array([fingerprint(t, shingle) for t in rows.field(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + len(rows))), pa.array(found), rows], ["rid", "fp", "own"])
+            rid += len(rows)
+
+    with cleaned_shuffles(df.sparkSession):
+        packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own"))
+        rows = materialize(packed.mapInArrow(run, f"rid bigint, fp bigint, own {own.simpleString()}"), "fingerprinted")
+        # nulls come after all ids
+        key = F.struct(F.col(f"own.`{id_col}`").isNull().alias("none"), F.col(f"own.`{id_col}`").alias("id"), "rid")
+        classes = materialize(rows.select("fp", key.alias("key")).groupBy("fp").agg(F.min("key").alias("least")), "classes")
+        kept = class_components(classes, distance, "least").select(F.col("component.rid").alias("rid")).distinct()
+        kept = materialize(kept, "kept")
+    return rows.join(kept, "rid", "left_semi").select("own.*")

@@ -1,11 +1,61 @@
-"""The corpus pipeline: quality rules, near-dedup, substring dedup, secret scans, packing."""
+"""The corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
+Quality rules drop documents, SimHash near-dedup leaves one of each group, substring dedup cuts
+passages that earlier documents hold, secret scans mask credentials, and best-fit packing lays out
+what is left.  Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
+all but the last return the columns of documents.
+"""
+
+import public_tokenizers
+
+from colpack.llm import packing, passages, quality, secrets, simhash
+from colpack.llm.common import discard, materialize
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Operator 2: documents that the rules' posterior rejects go."""
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """Operator 6: one document of each group of near duplicates stays."""
+    return simhash.keep_one(docs)
+
+
+def substring_dedup(spark, docs, sf_dir):
+    """Operator 9: passages that an earlier document holds are cut."""
+    return passages.cut_repeats(docs)
+
+
+def secret_scans(spark, docs, sf_dir):
+    """Operator 10: credentials are masked."""
+    return secrets.redact(docs)
+
+
+def best_fit_packing(spark, docs, sf_dir):
+    """Operator 4: pieces and their places in training sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: No SQL: expectation-maximisation, chaining and grammar inference are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The packed pieces of sf_dir's documents; what a stage returns is written once for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for k, (name, stage) in enumerate(STAGES):
+        found = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return found
+        before, docs = docs, materialize(found, name)
+        if k:
+            discard(before)
