@@ -75,11 +75,12 @@ class FramedWriter(DataSourceWriter):
 
     def __init__(self, path: str, frame_size: int, column: int):
         self.path, self.frame_size, self.column = path, frame_size, column
+        self.job = uuid.uuid4().hex
 
     def write(self, rows):
         os.makedirs(self.path, exist_ok=True)
         name = uuid.uuid4().hex
-        pending = os.path.join(self.path, f".{name}.pending")
+        pending = os.path.join(self.path, f".{self.job}-{name}.pending")
         encoder, tail = codec.Encoder(), b""
         try:
             with open(pending, "wb") as f:
@@ -104,11 +105,16 @@ class FramedWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         for m in filter(None, messages):
             os.replace(m.pending, m.final)
+        self._clear()
 
     def abort(self, messages) -> None:
-        for m in filter(None, messages):
-            if os.path.exists(m.pending):
-                os.remove(m.pending)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Remove what failed attempts of this job have left."""
+        for f in os.listdir(self.path) if os.path.isdir(self.path) else ():
+            if f.startswith(f".{self.job}-"):
+                os.remove(os.path.join(self.path, f))
 
 
 def register(spark: SparkSession) -> None:
