@@ -191,7 +191,7 @@ def fit_scorer(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> S
                         kinds.append("ordinary")
                         values.append(text[a:b])
                 for w in text.split()[:: max(1, len(text) // 400)]:
-                    if m := CANDIDATE.match(w):
+                    if (m := CANDIDATE.match(w)) and not base_spans(w):
                         kinds.append("ordinary")
                         values.append(m.group())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
