@@ -228,3 +228,10 @@ def test_pipeline_stages(spark, sf):
 
 def test_pipeline_runs(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_licenses_equal_sql(spark, sf):
+    from colpack.llm.sql import oracle_sql
+    from tests.oracle import compare
+
+    compare(spark, sf, queries.op8_license_scans, oracle_sql()["op8_license_scans"])
