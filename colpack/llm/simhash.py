@@ -23,8 +23,10 @@ SPREAD = 0x9E3779B97F4A7C15
 UNSPREAD = pow(SPREAD, -1, 1 << 64)
 #: The space of variants is worked off in 2**ROUND_BITS rounds, which bounds what is shuffled at a time.
 ROUND_BITS = 2
-#: Variants that a bucket is to hold, and fingerprints that a task expands at a time.
+#: Variants that a bucket is to hold, and fingerprints that are expanded at a time.
 BUCKET, CHUNK = 1 << 19, 1024
+#: Fingerprints that a task expands in all, which keeps tasks short however few files hold them.
+TASK = 1 << 14
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -113,9 +115,9 @@ def links(different: DataFrame, distance: int = 4) -> DataFrame:
         pairs = np.unique(np.stack([least[near], fps[near]]), axis=1).view(np.int64)
         return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
-    found = None
+    found, dealt = None, different.repartition(max(1, -(-n // TASK)))
     for number in range(1 << ROUND_BITS):
-        spread = different.mapInArrow(emit(number), "bucket int, keys binary, which binary")
+        spread = dealt.mapInArrow(emit(number), "bucket int, keys binary, which binary")
         pairs = materialize(spread.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct(), "links")
         found = pairs if found is None else found.union(pairs)
     return found
