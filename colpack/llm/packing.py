@@ -12,6 +12,8 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colpack.llm.common import materialize
-from colpack.llm.token_counts import SEPARATORS
+from colpack.llm.token_counts import SEPARATORS, plain_parts
 
 CAPACITY = 4096
 #: The id that ends every document.
 END = 1
-#: Pieces of text whose ids a worker keeps at most.
-CACHE_PIECES = 600_000
+#: Pieces of text, and words, whose ids a worker keeps at most.
+CACHE = 1_000_000
 #: Texts that go to the library together.
 GROUP = 64
 
@@ -44,7 +46,8 @@ class DocumentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "DocumentEncoder":
@@ -52,22 +55,35 @@ class DocumentEncoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def learn(self, pieces: list[str]) -> None:
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.cache[piece] = np.array(e.ids, "<u4").tobytes()
+    def learn(self, pieces: set[str]) -> None:
+        """Put the ids of pieces in the cache; the library sees each word that is new, however it is written, once."""
+        keys = {p: tuple(map(str.lower, words)) if (words := plain_parts(p)) else (p,) for p in pieces}
+        new = [*{w for words in keys.values() for w in words if w not in self.words}]
+        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            ids = e.ids
+            self.words[word] = pack("<%dI" % len(ids), *ids)
+        get = self.words.__getitem__
+        for p, words in keys.items():
+            self.pieces[p] = get(words[0]) if len(words) == 1 else get(words[0]) + get(words[1])
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         each = [[text] if SEPARATORS.search(text) else text.split() for text in texts]
-        if len(self.cache) > CACHE_PIECES:
-            for old in [p for p, _ in zip(self.cache, range(CACHE_PIECES // 2))]:
-                del self.cache[old]
-        new = {p for pieces in each for p in pieces if p not in self.cache}
-        if new:
-            self.learn([*new])
-        return [b"".join(map(self.cache.__getitem__, pieces)) for pieces in each]
+        for cache in (self.pieces, self.words):
+            shrink(cache, CACHE)
+        ids = self.pieces
+        if new := {p for pieces in each for p in pieces if p not in ids}:
+            self.learn(new)
+        return [b"".join(map(ids.__getitem__, pieces)) for pieces in each]
+
+
+def shrink(cache: dict, most: int) -> None:
+    """Drop the older half of a cache that has outgrown its bound."""
+    if len(cache) > most:
+        for old in [*islice(cache, most // 2)]:
+            del cache[old]
 
 
 def cut_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +224,7 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarra
     return {x: tuple(np.array(column, np.int64) for column in zip(*r)) for x, r in runs.items()}
 
 
-def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece of each row of df.
 
     A null text is the empty text and becomes the end id alone.  Repeated rows and null ids stay rows

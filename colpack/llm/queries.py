@@ -20,7 +20,7 @@ def op3_byte_bpe(spark, sf_dir):
 
 
 def op4_best_fit_packing(spark, sf_dir):
-    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_pii_pseudonyms(spark, sf_dir):

@@ -23,6 +23,8 @@ CACHE_WORDS = 400_000
 #: str.lower() would treat by its neighbours.
 LOWER = {"Σ": "σ", "\ua7cb": "\u0264", "\ua7dc": "\u019b"}
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Marks that stand behind words; each is a word of its own.
+MARKS = frozenset(".,;:!?")
 #: Code points from here on to the private planes were unassigned when the libraries were built.
 UNASSIGNED = "[\\U000323b0-\\U000dffff]"
 
@@ -52,6 +54,19 @@ class WordCache(dict):
         return value
 
 
+def plain_parts(piece: str) -> tuple[str, ...] | None:
+    """Words of a piece without white space where they are plain to see: letters, and at most one mark behind.
+
+    Only letters up to Latin Extended-A count, which stay letters when composed and lower-cased; null
+    leaves the piece to the pattern.
+    """
+    if piece.isalpha():
+        return (piece,) if piece.isascii() or max(piece) < "\u0130" else None
+    if piece[-1:] in MARKS and (word := piece[:-1]).isalpha() and (word.isascii() or max(word) < "\u0130"):
+        return (word, piece[-1])
+    return None
+
+
 def splitter(pattern: str):
     """findall for a pattern in which code points that the libraries do not know are no letters."""
     plain = regex.compile(pattern).findall

@@ -34,7 +34,7 @@ def secret_scans(spark, docs, sf_dir):
 
 def best_fit_packing(spark, docs, sf_dir):
     """Operator 4: pieces and their places in training sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -132,7 +132,7 @@ def test_exact_complements_are_used():
 ROWS = [(1, None, 5), (2, "", 6), (None, "Hello there world", 7), (3, "same text", 8), (3, "same text", 8), (4, "long " * 60000, 9)]
 
 
-@pytest.mark.parametrize("run", [lambda d: token_counts.token_counts(d, WORDS), lambda d: byte_bpe.round_trip_digests(d, RANKS, public_tokenizers.PATTERN), lambda d: packing.pack(d, WORDS)])
+@pytest.mark.parametrize("run", [lambda d: token_counts.token_counts(d, WORDS), lambda d: byte_bpe.round_trip_digests(d, RANKS, public_tokenizers.PATTERN), lambda d: packing.pack_documents(d, WORDS)])
 def test_edge_rows(spark, library, run):
     df = spark.createDataFrame(ROWS, "doc_id bigint, text string, n_tokens int")
     rows = run(df).collect()
@@ -156,4 +156,4 @@ def test_encode_and_decode_columns(spark, tik):
 def test_ranks_survive_many_tasks(spark):
     r = random.Random(1)
     df = spark.createDataFrame([(i, "a " * r.choice([5, 5, 5, 90, 700, 3000])) for i in range(300)], "doc_id bigint, text string").repartition(7)
-    check_sequences(packing.pack(df, WORDS).collect())
+    check_sequences(packing.pack_documents(df, WORDS).collect())
