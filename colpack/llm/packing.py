@@ -171,11 +171,30 @@ class LengthIndex:
 
 
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of the pieces in a sequence, number of such sequences), every piece placed once."""
+    """(lengths of the pieces in a sequence, number of such sequences), every piece placed once.
+
+    Exact complements of short pieces may use up what longer ones need; if the plan misses the lower
+    bound, those for which only pieces over half the capacity, or none, look for exact complements are
+    tried as well, and the shortest is taken.
+    """
+    bound = -(-sum(x * n for x, n in counts.items()) // capacity)
+    best, fewest = [], None
+    for shortest in (1, capacity // 2 + 1, capacity):
+        plan = exact_then_best_fit(counts, capacity, shortest)
+        n = sum(times for _, times in plan)
+        if fewest is None or n < fewest:
+            best, fewest = plan, n
+        if fewest == bound:
+            break
+    return best
+
+
+def exact_then_best_fit(counts: dict[int, int], capacity: int, shortest: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact complements of all pieces of at least shortest, then best fit of what is left, longest first."""
     index, plan = LengthIndex(counts, capacity), []
     if index.left[capacity]:
         plan.append(((capacity,), index.take((capacity,))))
-    for first in range(capacity - 1, 0, -1):
+    for first in range(capacity - 1, shortest - 1, -1):
         while index.left[first] and (rest := index.complement(first, capacity - first)):
             lengths = (first, *rest)
             plan.append((lengths, index.take(lengths)))
