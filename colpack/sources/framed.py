@@ -6,6 +6,7 @@ commits, and a failed task leaves none.
 """
 
 import os
+import shutil
 import struct
 import uuid
 from dataclasses import dataclass
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from colpack.functions import codec
-from colpack.operators.frames import DEFAULT_FRAME, END, check_frame_size, parse, unframe
+from colpack.operators.blocks import compress
+from colpack.operators.frames import DEFAULT_FRAME, END, check_frame_size, frame, joined_bytes, parse, parse_stream, serialize, serialized_or_empty, unframe
 
 SUFFIX = ".cpk"
 
@@ -45,7 +47,9 @@ class FramedSource(DataSource):
     def reader(self, schema) -> "FramedReader":
         return FramedReader(self.options["path"])
 
-    def writer(self, schema, overwrite: bool) -> "FramedWriter":
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        if "content" in schema.fieldNames():
+            return FilesWriter(self.options["path"], schema.fieldNames().index("path"), schema.fieldNames().index("content"))
         return FramedWriter(self.options["path"], check_frame_size(int(self.options.get("frame_size", DEFAULT_FRAME))), schema.fieldNames().index("payload"))
 
 
@@ -117,5 +121,48 @@ class FramedWriter(DataSourceWriter):
                 os.remove(os.path.join(self.path, f))
 
 
+class FilesWriter(DataSourceWriter):
+    """Rows (path, content) become files of their own, named as the last part of path; all appear at commit."""
+
+    def __init__(self, folder: str, path: int, content: int):
+        self.folder, self.path, self.content = folder, path, content
+        self.job = uuid.uuid4().hex
+
+    def write(self, rows):
+        pending = os.path.join(self.folder, f".{self.job}", uuid.uuid4().hex)
+        os.makedirs(pending)
+        for row in rows:
+            with open(os.path.join(pending, os.path.basename(row[self.path])), "wb") as f:
+                f.write(row[self.content] or b"")
+        return Written(pending, self.folder)
+
+    def commit(self, messages) -> None:
+        for m in filter(None, messages):
+            for name in os.listdir(m.pending):
+                os.replace(os.path.join(m.pending, name), os.path.join(m.final, name))
+        self.abort(messages)
+
+    def abort(self, messages) -> None:
+        shutil.rmtree(os.path.join(self.folder, f".{self.job}"), ignore_errors=True)
+
+
+def compress_files(spark: SparkSession, path: str, out: str, frame_size: int = DEFAULT_FRAME) -> None:
+    """Every file at path becomes a framed file of its name and SUFFIX in the folder out; Spark lists no empty files."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    encoded = frame(files, ["path"], "content", frame_size).select("path", "frame_no", compress(F.col("payload")).alias("block"))
+    streams = files.select("path").join(serialize(encoded, ["path"]), "path", "left")
+    made = streams.select(F.concat("path", F.lit(SUFFIX)).alias("path"), serialized_or_empty(F.col("stream")).alias("content"))
+    made.write.format("colpack").option("path", out).mode("append").save()
+
+
+def decompress_files(spark: SparkSession, path: str, out: str) -> None:
+    """Every framed file at path becomes its original, without SUFFIX, in the folder out; a broken one fails the job."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(path)
+    parsed = files.select("path", parse_stream(F.col("content")).alias("s"))
+    checked = F.when(F.col("s.status").startswith("OK"), joined_bytes(F.transform("s.frames", lambda f: f["payload"]))).otherwise(F.raise_error(F.concat("path", F.lit(": "), F.col("s.status"))).cast("binary"))
+    back = parsed.select(F.regexp_replace("path", rf"\{SUFFIX}$", "").alias("path"), checked.alias("content"))
+    back.write.format("colpack").option("path", out).mode("append").save()
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FramedSource)

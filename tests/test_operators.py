@@ -108,6 +108,22 @@ def test_framed_files(spark, tmp_path):
     assert b"".join(bytes(r["payload"]) for r in again) == whole
 
 
+def test_files_there_and_back(spark, tmp_path):
+    framed.register(spark)
+    data = {"a.txt": b"hello " * 40000, "b.bin": bytes(range(256))}
+    (tmp_path / "in").mkdir()
+    for name, content in data.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    framed.compress_files(spark, str(tmp_path / "in"), str(tmp_path / "mid"))
+    assert {p.name for p in (tmp_path / "mid").iterdir()} == {f"{n}.cpk" for n in data}
+    assert (tmp_path / "mid" / "a.txt.cpk").stat().st_size < 2000
+    framed.decompress_files(spark, str(tmp_path / "mid"), str(tmp_path / "out"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == data
+    (tmp_path / "mid" / "a.txt.cpk").write_bytes(b"\x10\0\0\0junk")
+    with pytest.raises(Exception, match="TRUNCATED_FRAME"):
+        framed.decompress_files(spark, str(tmp_path / "mid"), str(tmp_path / "bad"))
+
+
 def test_failed_write_leaves_no_file(spark, tmp_path):
     framed.register(spark)
     df = spark.range(4, numPartitions=2).select(F.when(F.col("id") < 3, F.encode(F.col("id").cast("string"), "utf-8")).otherwise(F.raise_error(F.lit("sink"))).alias("payload"))
