@@ -14,9 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colpack.llm.token_counts import WordCache, splitter
+from colpack.llm.token_counts import WordCache, plain_parts, splitter
 
-NONE = 1 << 80
+#: Above all ranks.
+NO_RANK = 1 << 32
+#: Words, and pieces between spaces, whose ids a worker keeps at most.
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 700_000
 #: Fixed value: the split pattern of the public vocabularies, for which a text may be cut before spaces.
 BY_SPACES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space that does not begin a word of its own: more white space or nothing follows.
@@ -39,8 +42,8 @@ class ByteBpe:
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.find = splitter(pattern)
         #: word, or piece between two spaces after its space -> its ids in decimal, joined by spaces
-        self.words = WordCache(lambda word: " ".join(map(str, self.word_ids(word.encode()))))
-        self.pieces = WordCache(lambda piece: self.by_words(" " + piece))
+        self.words = WordCache(lambda word: " ".join(map(str, self.word_ids(word.encode()))), CACHE_WORDS)
+        self.pieces = WordCache(self.piece_ids, CACHE_PIECES)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> "ByteBpe":
@@ -54,46 +57,56 @@ class ByteBpe:
             return [whole]
         n, rank = len(data), self.ranks.get
         size = 1 << max(0, (n - 2).bit_length())
-        # a leaf is rank * 2**40 + position, so the minimum is the leftmost one of lowest rank
-        tree = [NONE] * (2 * size)
+        # a leaf is rank << shift | position, so the minimum is the leftmost one of lowest rank
+        shift = n.bit_length()
+        none = NO_RANK << shift
+        tree = [none] * (2 * size)
         for i in range(n - 1):
             if (r := rank(data[i : i + 2])) is not None:
-                tree[size + i] = (r << 40) | i
+                tree[size + i] = r << shift | i
         for k in range(size - 1, 0, -1):
             a, b = tree[2 * k], tree[2 * k + 1]
             tree[k] = a if a < b else b
         end, before = [*range(1, n + 1)], [*range(-1, n)]  # end[i]: where the symbol at i ends and the next begins
-
-        def put(i: int, value: int) -> None:
-            k = size + i
-            tree[k] = value
-            while k > 1:
-                other = tree[k ^ 1]
-                k >>= 1
-                low = value if value < other else other
-                if tree[k] == low:
-                    return
-                tree[k] = value = low
-
-        while (least := tree[1]) < NONE:
-            i = least & 0xFFFFFFFFFF
+        places = (1 << shift) - 1
+        while (least := tree[1]) < none:
+            i = least & places
             j = end[i]
             k = end[i] = end[j]
             before[k] = i
-            if j < size and tree[size + j] < NONE:
-                put(j, NONE)
             r = rank(data[i : end[k]]) if k < n else None
-            put(i, NONE if r is None else (r << 40) | i)
+            new = [(i, none if r is None else r << shift | i)]
+            if j < size and tree[size + j] < none:
+                new.append((j, none))
             h = before[i]
             if h >= 0:
                 r = rank(data[h:k])
-                put(h, NONE if r is None else (r << 40) | h)
+                new.append((h, none if r is None else r << shift | h))
+            for at, value in new:  # point updates, upwards until a node stays as it is
+                at += size
+                tree[at] = value
+                while at > 1:
+                    other = tree[at ^ 1]
+                    at >>= 1
+                    if other < value:
+                        value = other
+                    if tree[at] == value:
+                        break
+                    tree[at] = value
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[data[i : end[i]]])
             i = end[i]
         return ids
 
+    def piece_ids(self, piece: str) -> str:
+        """Ids of what stands between two spaces, with the space before it."""
+        parts = plain_parts(piece)
+        if parts is None:
+            return self.by_words(" " + piece)
+        word = self.words[" " + parts[0]]
+        return f"{word} {self.words[parts[1]]}" if len(parts) > 1 else word
+
     def by_words(self, text: str) -> str:
         return " ".join(map(self.words.__getitem__, self.find(text)))
 
