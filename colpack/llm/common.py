@@ -18,30 +18,59 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/") + "/colpack-" + spark.sparkContext.applicationId
 
 
+#: Folders of intermediate tables that still exist, as (application, path).
+_scratch: list[tuple[str, str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation, and rows that were
-    numbered stay as they were.  The files go when the application's file system closes.
+    numbered stay as they were.  The files go by discard() or release(), at last when the application's
+    file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    _scratch.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+    _scratch.remove((spark.sparkContext.applicationId, path))
+
+
+def _read_by(df: DataFrame) -> set[str]:
+    """Names of the intermediate tables that df reads."""
+    return {parts[-2] for f in df.inputFiles() if len(parts := f.split("/")) > 1}
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/colpack-" in path:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+    """Delete the intermediate tables that df reads, when nothing reads them any more."""
+    read = _read_by(df)
+    for app, path in [*_scratch]:
+        if app == df.sparkSession.sparkContext.applicationId and path.rsplit("/", 1)[1] in read:
+            _drop(df.sparkSession, path)
+
+
+def release(docs: DataFrame) -> None:
+    """Delete all intermediate tables of this application but those that docs reads.
+
+    For the start of a pipeline stage, whose docs have been written: nothing else is read after that.
+    """
+    read = _read_by(docs)
+    for app, path in [*_scratch]:
+        if app == docs.sparkSession.sparkContext.applicationId and path.rsplit("/", 1)[1] not in read:
+            _drop(docs.sparkSession, path)
 
 
 @contextmanager

@@ -6,10 +6,12 @@ what is left.  Every stage takes (spark, docs, sf_dir) and works on all that its
 all but the last return the columns of documents.
 """
 
+import functools
+
 import public_tokenizers
 
 from colpack.llm import packing, passages, quality, secrets, simhash
-from colpack.llm.common import discard, materialize
+from colpack.llm.common import materialize, release
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -37,13 +39,18 @@ def best_fit_packing(spark, docs, sf_dir):
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("secret_scans", secret_scans),
-    ("best_fit_packing", best_fit_packing),
-]
+def _after_writing(stage):
+    """The stage, which first drops what its predecessors wrote on their way: their results have been written."""
+
+    @functools.wraps(stage)
+    def run_stage(spark, docs, sf_dir):
+        release(docs)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(stage.__name__, _after_writing(stage)) for stage in (quality_rules, near_dedup, substring_dedup, secret_scans, best_fit_packing)]
 
 #: No SQL: expectation-maximisation, chaining and grammar inference are tested against brute force.
 ORACLE_SQL = None
@@ -52,10 +59,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     """The packed pieces of sf_dir's documents; what a stage returns is written once for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        found = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return found
-        before, docs = docs, materialize(found, name)
-        if k:
-            discard(before)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
