@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colpack.llm.common import kept_by_worker
 from colpack.llm.token_counts import WordCache, plain_parts, splitter
 
 #: Above all ranks.
@@ -34,7 +35,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class ByteBpe:
     """Encodes and decodes by a rank file and a split pattern."""
 
-    _of: dict[tuple[str, str], "ByteBpe"] = {}
+    _of: dict[tuple[str, str], "ByteBpe"] = kept_by_worker()
 
     def __init__(self, path: str, pattern: str):
         self.by_spaces = pattern == BY_SPACES

@@ -18,6 +18,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/") + "/colpack-" + spark.sparkContext.applicationId
 
 
+#: What a Python worker keeps between tasks.
+_kept: list[dict] = []
+
+
+def kept_by_worker() -> dict:
+    """A dictionary for objects that a worker keeps between tasks, until another operator's task drops them."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def drop_kept() -> None:
+    """Free the word caches that earlier operators have left in this worker, which Spark reuses."""
+    for kept in _kept:
+        kept.clear()
+
+
 #: Folders of intermediate tables that still exist, as (application, path).
 _scratch: list[tuple[str, str]] = []
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colpack.llm.common import materialize
+from colpack.llm.common import kept_by_worker, materialize
 from colpack.llm.token_counts import SEPARATORS, plain_parts
 
 CAPACITY = 4096
@@ -39,7 +39,7 @@ class DocumentEncoder:
     only once; pieces not seen yet go to the library in one call.
     """
 
-    _of: dict[str, "DocumentEncoder"] = {}
+    _of: dict[str, "DocumentEncoder"] = kept_by_worker()
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core

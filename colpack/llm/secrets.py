@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colpack.llm.common import materialize
+from colpack.llm.common import drop_kept, materialize
 
 KINDS = ("assign", "access", "hex")
 #: Kind of the spans that only the automata find.
@@ -177,6 +177,7 @@ def fit_scorer(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> S
     """
 
     def run(batches):
+        drop_kept()
         for batch in batches:
             kinds, values = [], []
             for text in batch.column(0).to_pylist():
@@ -218,6 +219,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        drop_kept()
         for batch in batches:
             counts, base_digest, spans = ([], [], []), [], []
             for text in batch.column(1).to_pylist():
@@ -248,6 +250,7 @@ def redact(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars", sa
     chars = df.columns.index(chars_col) if chars_col in df.columns else None
 
     def run(batches):
+        drop_kept()
         for batch in batches:
             columns = list(batch.columns)
             texts = [t and mask(t, found_spans(t, scorer)[1]) for t in columns[at].to_pylist()]

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colpack.llm.common import cleaned_shuffles, materialize
+from colpack.llm.common import cleaned_shuffles, drop_kept, materialize
 from colpack.llm.components import components
 
 #: Odd factor that spreads variants over the buckets, and its inverse modulo 2**64.
@@ -52,6 +52,7 @@ def fingerprints(df: DataFrame, shingle: int = 4, seed: int = 42, id_col: str =
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        drop_kept()
         for batch in batches:
             found = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], [id_col, "fp"])
@@ -81,6 +82,7 @@ def links(different: DataFrame, distance: int = 4) -> DataFrame:
 
     def emit(number):
         def run(batches):
+            drop_kept()
             for batch in batches:
                 fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 for k in range(0, len(fps), CHUNK):
@@ -158,6 +160,7 @@ def keep_one(df: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "
     def run(batches):
         from pyspark import TaskContext
 
+        drop_kept()
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = batch.column(0)

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colpack.llm.common import kept_by_worker
+
 #: Words whose counts a worker keeps at most; beyond, the older half goes.
 CACHE_WORDS = 400_000
 #: Letters whose lower case is newer than Python's tables, and the sigma that
@@ -169,7 +171,7 @@ class HeapMerger:
 
 
 class TokenCounter:
-    _of: dict[str, "TokenCounter"] = {}
+    _of: dict[str, "TokenCounter"] = kept_by_worker()
 
     def __init__(self, path: str):
         self.splitter = WordSplitter(path)
