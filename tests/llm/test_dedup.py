@@ -126,6 +126,50 @@ def test_planted_passages_are_found_and_cut(spark):
     assert all(left[i] == texts[i] for i in texts if i not in has[0][1:] and i not in has[1][1:])
 
 
+def spans(found):
+    return sorted((r["doc_id"], r["first_word"], r["n_words"], r["source_id"]) for r in found)
+
+
+@pytest.mark.parametrize("sizes", [(60, 35, 60), (60, 110, 60), (300, 200, 300), (300, 590, 300), (45, 60, 200, 160, 50), (400, 30, 12, 300, 45)])
+def test_exact_passages_near_each_other_are_all_found(spark, sizes):
+    r = random.Random(sum(sizes))
+    shared = [words(r, n) for n in sizes[::2]]
+    rows, want = [], []
+    for i in (1, 2):
+        text = []
+        for k, part in enumerate(shared):
+            if i == 2 and len(part) >= 40:
+                want.append((len(text), len(part)))
+            text += part + (words(r, sizes[2 * k + 1]) if k + 1 < len(shared) else [])
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    covered = {w for _, a, n, _ in spans(passages.repeated_passages(df).collect()) for w in range(a, a + n)}
+    missed = [(a, n) for a, n in want if not {*range(a, a + n)} <= covered]
+    assert not missed
+    exact = {w for a, n in want for w in range(a, a + n)}
+    assert len(covered - exact) <= 0.25 * len(exact)
+
+
+def test_parts_of_a_chain_hold_every_exact_passage():
+    for seed in range(60):
+        r = random.Random(seed)
+        mine, there, exact, chain = [], [], [], []
+        for _ in range(r.randrange(2, 8)):
+            n = r.choice([8, 20, 40, 41, 60, 150])
+            part = [r.randrange(60000) for _ in range(n)]
+            chain.append((len(mine), len(there), n))
+            if n >= 40:
+                exact.append((len(mine), len(mine) + n))
+            mine += part + [r.randrange(60000) for _ in range(r.randrange(1, 200))]
+            there += part + [r.randrange(60000) for _ in range(r.randrange(1, 200))]
+        doc, other = np.array(mine, np.uint16), np.array(there, np.uint16)
+        found = passages.parts(chain, doc, other, 0)
+        for a, b, c, d in found:
+            assert b - a >= 40 and passages.common(doc[a:b], other[c:d]) >= 0.8 * max(b - a, d - c)
+        assert all(any(a <= x and y <= b for a, b, *_ in found) for x, y in exact)
+        assert all(b <= c for (_, b, *_), (c, *_) in zip(sorted(found), sorted(found)[1:]))
+
+
 def test_passage_edge_rows(spark):
     long = " ".join(words(random.Random(9), 50))
     rows = [(1, None, "a"), (2, "", "b"), (3, "a b", "c"), (4, long, "d"), (None, long.upper(), "e"), (4, long, "f"), (5, "so " * 50000, "g")]
