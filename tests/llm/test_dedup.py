@@ -150,6 +150,17 @@ def test_exact_passages_near_each_other_are_all_found(spark, sizes):
     assert len(covered - exact) <= 0.25 * len(exact)
 
 
+def test_passages_whose_seeds_first_stand_elsewhere(spark):
+    r = random.Random(11)
+    shared = words(r, 70)
+    rows = [(i, " ".join(words(r, 30) + shared[i : i + 7] + words(r, 30))) for i in range(64)]  # each shingle singly
+    rows += [(i, " ".join(words(r, 50) + shared + words(r, 50))) for i in (100, 101, 102)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = passages.repeated_passages(df).collect()
+    assert {(d, s) for d, a, n, s in spans(found) if a <= 50 and a + n >= 120} == {(101, 100), (102, 100)}
+    assert {r["doc_id"] for r in found} == {101, 102}
+
+
 def test_parts_of_a_chain_hold_every_exact_passage():
     for seed in range(60):
         r = random.Random(seed)
