@@ -161,6 +161,20 @@ def test_passages_whose_seeds_first_stand_elsewhere(spark):
     assert {r["doc_id"] for r in found} == {101, 102}
 
 
+def test_most_fuzzy_passages_are_found(spark):
+    r = random.Random(12)
+    rows, copies = [], []
+    for i in range(200):
+        passage = words(r, 60)
+        changed = {*r.sample(range(60), 9)}  # 0.85 alike
+        rows.append((i, " ".join(words(r, 40) + passage + words(r, 40))))
+        copies.append((1000 + i, " ".join(words(r, 40) + ["zz%d" % r.randrange(9999) if k in changed else w for k, w in enumerate(passage)] + words(r, 40))))
+    df = spark.createDataFrame(rows + copies, "doc_id bigint, text string").coalesce(1)
+    found = {(r["doc_id"], r["source_id"]) for r in passages.repeated_passages(df).collect()}
+    assert found <= {(1000 + i, i) for i in range(200)}
+    assert len(found) >= 190
+
+
 def test_parts_of_a_chain_hold_every_exact_passage():
     for seed in range(60):
         r = random.Random(seed)
