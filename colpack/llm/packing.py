@@ -17,26 +17,28 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colpack.llm.common import kept_by_worker, materialize
-from colpack.llm.token_counts import SEPARATORS, plain_parts
+from colpack.llm.common import by_size, kept_by_worker, materialize
+from colpack.llm.token_counts import SEPARATORS, WordSplitter, plain_parts
 
 CAPACITY = 4096
 #: The id that ends every document.
 END = 1
-#: Pieces of text, and words, whose ids a worker keeps at most.
-CACHE = 1_000_000
-#: Texts that go to the library together.
-GROUP = 64
+#: Pieces of text, and words, whose ids a worker keeps at most, and the longest of them that is kept.
+CACHE, LONGEST = 1_000_000, 64
+#: Bytes of text that are encoded together.
+GROUP = 1 << 23
 
 
 class DocumentEncoder:
     """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit integers.
 
     No word of these files crosses white space, so a text is encoded piece by piece and each piece
-    only once; pieces not seen yet go to the library in one call.
+    only once.  Words not seen yet go to the library as one text with a space between any two, whose ids
+    are cut where a token ends a word.
     """
 
     _of: dict[str, "DocumentEncoder"] = kept_by_worker()
@@ -46,6 +48,11 @@ class DocumentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.splitter = WordSplitter(path)
+        model = self.splitter.spec["model"]
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        if suffix := model["end_of_word_suffix"]:
+            self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -55,28 +62,80 @@ class DocumentEncoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put the ids of pieces in the cache; the library sees each word that is new, however it is written, once."""
-        keys = {p: tuple(map(str.lower, words)) if (words := plain_parts(p)) else (p,) for p in pieces}
-        new = [*{w for words in keys.values() for w in words if w not in self.words}]
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            ids = e.ids
-            self.words[word] = pack("<%dI" % len(ids), *ids)
-        get = self.words.__getitem__
-        for p, words in keys.items():
-            self.pieces[p] = get(words[0]) if len(words) == 1 else get(words[0]) + get(words[1])
+    def by_library(self, texts: list[str]) -> list[bytes]:
+        return [pack("<%dI" % len(e.ids), *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that stay one word each between spaces."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(np.append(True, self.ends[np.minimum(ids, len(self.ends) - 1)]))
+        if len(cuts) != len(words) + 1 or cuts[-1] != len(ids):
+            return self.by_library(words)
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def words_of(self, piece: str) -> tuple[str, ...] | None:
+        """A piece's words in lower case, or None where only the library knows them."""
+        if not piece:
+            return ()
+        if words := plain_parts(piece):
+            return tuple(map(str.lower, words))
+        if not piece.isascii() or SEPARATORS.search(piece) or self.splitter.special and self.splitter.special.search(piece):
+            return None
+        return tuple(self.splitter.find(piece.lower()))
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces, which are kept; the library sees each word that is new, however it is written, once."""
+        words = {p: self.words_of(p) for p in pieces}
+        new = [*{w for ws in words.values() if ws for w in ws if w not in self.words}]
+        fresh = dict(zip(new, self.encode_words(new)))
+        self.words |= fresh if max(map(len, new), default=0) <= LONGEST else {w: x for w, x in fresh.items() if len(w) <= LONGEST}
+        get, far = self.words.get, fresh.get
+        odd = [p for p, ws in words.items() if ws is None]
+        found = dict(zip(odd, self.by_library(odd)))
+        for p, ws in words.items():
+            if ws is not None:
+                found[p] = get(ws[0]) or far(ws[0]) if len(ws) == 1 else b"".join([get(w) or far(w) for w in ws])
+        self.pieces |= {p: x for p, x in found.items() if len(p) <= LONGEST}
+        return found
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        each = [[text] if SEPARATORS.search(text) else text.split() for text in texts]
+        data, _ = self.encode_all(pa.array([text], pa.string()))
+        return bytes(data)
+
+    def each(self, texts: pa.Array):
+        """The ids of one text after the other."""
+        data, bounds = self.encode_all(texts)
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+            yield bytes(data[a:b])
+
+    def encode_all(self, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """The ids of texts one after another, and where each text's begin, the end of the last one included.
+
+        A null is the empty text.  Pieces are looked up once for all texts, however often they stand there.
+        """
+        texts = pc.fill_null(texts, "")
+        if pc.any(pc.match_substring_regex(texts, SEPARATORS.pattern)).as_py():
+            each = [[text] if SEPARATORS.search(text) else text.split() for text in texts.to_pylist()]
+            pieces, starts = pa.array([p for ps in each for p in ps], pa.string()), np.cumsum([0, *map(len, each)])
+        else:
+            each = pc.utf8_split_whitespace(texts)
+            pieces, starts = each.flatten(), np.asarray(each.offsets) - each.offsets[0].as_py()
         for cache in (self.pieces, self.words):
             shrink(cache, CACHE)
-        ids = self.pieces
-        if new := {p for pieces in each for p in pieces if p not in ids}:
-            self.learn(new)
-        return [b"".join(map(ids.__getitem__, pieces)) for pieces in each]
+        pieces = pieces.dictionary_encode()
+        different = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [*map(self.pieces.get, different)]
+        if new := {p for p, x in zip(different, ids) if x is None}:
+            learnt = self.learn(new)
+            ids = [learnt[p] if x is None else x for p, x in zip(different, ids)]
+        found = pa.array(ids, pa.large_binary()).take(pieces.indices)
+        if not len(found):
+            return memoryview(b""), np.zeros(len(texts) + 1, np.int64)
+        bounds = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
+        return memoryview(found.buffers()[2] or b"").cast("B"), bounds[starts]
 
 
 def shrink(cache: dict, most: int) -> None:
@@ -96,9 +155,8 @@ def cut_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col:
         part, seen, encoder = TaskContext.get().partitionId(), Counter(), DocumentEncoder.of(tokenizer)
         for batch in batches:
             rows, out = [], ([], [], [], [], [])
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            groups = (texts[k : k + GROUP] for k in range(0, len(texts), GROUP))
-            for row, data in enumerate(ids for group in groups for ids in encoder.encode_all(group)):
+            texts = batch.column(1)
+            for row, data in enumerate(ids for first, n in by_size(texts, GROUP) for ids in encoder.each(texts.slice(first, n))):
                 ids = memoryview(data + END.to_bytes(4, "little"))
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     cut = ids[4 * start : 4 * (start + capacity)]
