@@ -3,8 +3,8 @@
 A fingerprint has a bit set where more than half of the hashes of the text's shingles have.  Two
 fingerprints within the distance share a variant within half of it of either.  Every different
 fingerprint therefore emits all its variants within half the distance; variants meet in buckets, and
-the fingerprints at one variant are linked to the least of them, the links verified and deduplicated.
-Links become components by distributed stars.
+the fingerprints at one variant are linked to the one nearest to it, the links verified and deduplicated.
+Links become components by distributed stars; components found early stand for their members later on.
 """
 
 from itertools import accumulate, combinations
@@ -21,10 +21,12 @@ from colpack.llm.components import components
 #: Odd factor that spreads variants over the buckets, and its inverse modulo 2**64.
 SPREAD = 0x9E3779B97F4A7C15
 UNSPREAD = pow(SPREAD, -1, 1 << 64)
-#: The space of variants is worked off in 2**ROUND_BITS rounds, which bounds what is shuffled at a time.
-ROUND_BITS = 2
-#: Variants that a bucket is to hold, and fingerprints that are expanded at a time.
-BUCKET, CHUNK = 1 << 19, 1024
+#: Part of the space of variants that the first round takes, and rounds at least that take the rest, which bounds what is shuffled at a time.
+FIRST_SHARE, ROUNDS = 64, 4
+#: Variants that a bucket is to hold, and how many buckets a round has at least and at most.
+BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1 << 19, 256, 1 << 30
+#: Fingerprints that are expanded at a time.
+CHUNK = 1024
 #: Fingerprints that a task expands in all, which keeps tasks short however few files hold them.
 TASK = 1 << 14
 
@@ -65,70 +67,123 @@ def masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(64), r)], np.uint64)
 
 
-def links(different: DataFrame, distance: int = 4) -> DataFrame:
-    """(a, b): links that join all fingerprints within distance of one another, directly or by way of others.
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the links (a, b) that a spanning forest of them needs, the first ones first."""
+    above: dict[int, int] = {}
+    needed = []
 
-    different has one column fp without repeats.  A bucket holds a bounded number of variants: they are
-    spread evenly, and no variant has more than a ball's worth of fingerprints.
-    """
-    radius = (distance + 1) // 2
-    ball = masks(radius)
-    n = different.count()
-    bits = max(8, int(n * len(ball) >> ROUND_BITS).bit_length() - (BUCKET.bit_length() - 1))
-    if bits > 31:
-        raise ValueError("too many fingerprints for the buckets of one round")
-    small = np.uint16 if bits <= 16 else np.uint32
-    shift = np.uint64(64 - ROUND_BITS - bits)
-
-    def emit(number):
-        def run(batches):
-            drop_kept()
-            for batch in batches:
-                fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                for k in range(0, len(fps), CHUNK):
-                    keys = (fps[k : k + CHUNK, None] ^ ball[None, :]) * np.uint64(SPREAD)
-                    row, which = np.nonzero(keys >> np.uint64(64 - ROUND_BITS) == number)
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            needed.append(k)
+    return np.array(needed, np.int64)
+
+
+def _emitted(ball: np.ndarray, low: int, width: int, shift: int):
+    """Fingerprints and their labels to the sorted runs of variants between low and low + width, a row a bucket."""
+
+    def run(batches):
+        drop_kept()
+        for batch in batches:
+            every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            named = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            labels = batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            for chosen in (np.flatnonzero(~named), np.flatnonzero(named)):
+                for k in range(0, len(chosen), CHUNK):
+                    rows = chosen[k : k + CHUNK]
+                    keys = (every[rows, None] ^ ball[None, :]) * np.uint64(SPREAD) - np.uint64(low)
+                    row, which = np.nonzero(keys < np.uint64(width))
+                    if not len(row):
+                        continue
                     keys = keys[row, which]
-                    bucket = ((keys >> shift) & np.uint64((1 << bits) - 1)).astype(small)
+                    bucket = (keys >> np.uint64(shift)).astype(np.int32)
                     order = np.argsort(bucket, kind="stable")
-                    keys, which, bucket = keys[order], which[order].astype("<u4"), bucket[order]
-                    cuts = np.flatnonzero(np.diff(bucket)) + 1 if len(bucket) else np.array([], np.int64)
-                    first = np.concatenate([[0], cuts]) if len(bucket) else cuts
-                    offsets = np.append(first, len(keys)).astype(np.int64)
-                    data = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets * width), pa.py_buffer(values)]).cast(pa.binary()) for width, values in ((8, keys), (2, which.astype("<u2")))]
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *data], ["bucket", "keys", "which"])
-
-        return run
-
-    def meet(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u8")
-        which = np.frombuffer(b"".join(table.column("which").to_pylist()), "<u2")
+                    bucket = bucket[order]
+                    first = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
+                    offsets = np.append(first, len(bucket)).astype(np.int64)
+                    columns = [(8, keys[order] + np.uint64(low)), (2, which[order].astype("<u2"))]
+                    if named[rows[0]]:
+                        columns.append((8, labels[rows[row[order]]]))
+                    data = [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets * size), pa.py_buffer(values)]).cast(pa.binary()) for size, values in columns]
+                    if len(data) < 3:
+                        data.append(pa.nulls(len(first), pa.binary()))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), *data], ["bucket", "keys", "which", "labels"])
+
+    return run
+
+
+def _met(ball: np.ndarray, distance: int):
+    """A bucket's variants to links between labels: a spanning forest of those that the bucket holds."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [(k, w, n) for k, w, n in zip(*(table.column(c).to_pylist() for c in ("keys", "which", "labels")))]
+        keys = np.frombuffer(b"".join(k for k, _, _ in parts), "<u8")
+        which = np.frombuffer(b"".join(w for _, w, _ in parts), "<u2")
+        labels = np.frombuffer(b"".join(n or bytes(len(k)) for k, _, n in parts), "<i8")
+        named = np.repeat([n is not None for _, _, n in parts], [len(k) // 8 for k, _, _ in parts])
         order = np.argsort(keys)
-        keys = keys[order]
-        same = keys[1:] == keys[:-1]
-        met = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False)) if len(keys) else np.array([], np.int64)
+        same = np.diff(keys[order]) == 0
+        met = order[np.append(same, False) | np.insert(same, 0, False)] if len(keys) else order
+        # at a variant the nearest fingerprint is the centre: what another is within the distance of, it is too
+        met = met[np.lexsort((which[met], keys[met]))]
         variant = keys[met]
-        fps = (variant * np.uint64(UNSPREAD)) ^ ball[which[order[met]]]
-        by = np.lexsort((fps, variant))
-        variant, fps = variant[by], fps[by]
-        first = np.flatnonzero(np.insert(variant[1:] != variant[:-1], 0, True)) if len(variant) else met
-        least = np.repeat(fps[first], np.diff(np.append(first, len(fps)))) if len(variant) else fps
-        near = (np.bitwise_count(least ^ fps) <= distance) & (least != fps)
-        pairs = np.unique(np.stack([least[near], fps[near]]), axis=1).view(np.int64)
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
-
-    found, dealt = None, different.repartition(max(1, -(-n // TASK)))
-    for number in range(1 << ROUND_BITS):
-        spread = dealt.mapInArrow(emit(number), "bucket int, keys binary, which binary")
-        pairs = materialize(spread.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct(), "links")
-        found = pairs if found is None else found.union(pairs)
-    return found
+        fps = (variant * np.uint64(UNSPREAD)) ^ ball[which[met]]
+        label = np.where(named[met], labels[met], fps.view(np.int64))
+        first = np.flatnonzero(np.append(True, np.diff(variant) != 0)) if len(met) else met
+        times = np.diff(np.append(first, len(met)))
+        centre, to = np.repeat(fps[first], times), np.repeat(label[first], times)
+        near = (np.bitwise_count(centre ^ fps) <= distance) & (label != to)
+        pairs = np.unique(np.stack([np.minimum(to, label)[near], np.maximum(to, label)[near]]), axis=1)
+        pairs = pairs[:, forest(*pairs)]
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    return run
+
+
+def _contracted(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, label) after the components that links between labels make."""
+    roots = components(links).select(F.col("a").alias("was"), F.col("b").alias("root"))
+    return materialize(labelled.join(roots, F.coalesce("label", "fp") == F.col("was"), "left").select("fp", F.coalesce("root", "label").alias("label")), "labelled")
+
+
+def labelled(different: DataFrame, distance: int = 4) -> DataFrame:
+    """(fp, label): for every fingerprint one that links within distance reach, the same in a whole component; null for itself.
+
+    different has one column fp without repeats.  A bucket holds a bounded number of variants: they are
+    spread evenly, and no variant has more than a ball's worth of fingerprints.  A first round over a
+    small share of the space of variants makes one label of nearly all of a dense group; later rounds link
+    different labels only, and a bucket gives a spanning forest of its links, so links do not grow as
+    the pairs of a group.
+    """
+    ball = masks((distance + 1) // 2)
+    n = different.count()
+    now = different.select("fp", F.lit(None).cast("bigint").alias("label"))
+    rounds = max(ROUNDS, -(-n * len(ball) // (BUCKET * MOST_BUCKETS)))
+    first = (1 << 64) // FIRST_SHARE
+    bounds = [0, *(first + ((1 << 64) - first) * k // rounds for k in range(rounds + 1))]
+    found = None
+    for number, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        buckets = max(LEAST_BUCKETS, n * len(ball) * (high - low) // (BUCKET << 64))
+        shift = ((high - low) // buckets).bit_length() - 1
+        spread = now.repartition(max(1, -(-n // TASK))).mapInArrow(_emitted(ball, low, high - low, shift), "bucket int, keys binary, which binary, labels binary")
+        links = materialize(spread.groupBy("bucket").applyInArrow(_met(ball, distance), "a bigint, b bigint").distinct(), "links")
+        if number == 0:
+            now = _contracted(now, links)
+        else:
+            found = links if found is None else found.union(links)
+    return _contracted(now, found)
 
 
 def class_components(classes: DataFrame, distance: int, least: str) -> DataFrame:
     """(fp, component): for every fingerprint of classes (fp, least), the least value that links reach."""
-    roots = components(links(classes.select("fp"), distance))
-    named = classes.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", least, F.coalesce("root", "fp").alias("root"))
+    named = classes.join(labelled(classes.select("fp"), distance), "fp").select("fp", least, F.coalesce("label", "fp").alias("root"))
     named = materialize(named, "named")
     first = materialize(named.groupBy("root").agg(F.min(least).alias("component")), "firsts")
     return materialize(named.join(first, "root").select("fp", "component"), "components")

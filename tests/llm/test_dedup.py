@@ -61,10 +61,41 @@ def test_links_find_every_pair_within_the_distance(spark, distance):
             fps.append(fps[-1] ^ sum(1 << b for b in r.sample(range(64), r.randrange(1, 7))))
     fps = sorted({*fps})
     signed = [int(x) for x in np.array(fps, np.uint64).view(np.int64)]
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), distance).collect()
+    found = {r["fp"]: r["label"] for r in simhash.labelled(spark.createDataFrame([(x,) for x in signed], "fp bigint"), distance).collect()}
     root = brute_components(signed, fps, lambda a, b: (a ^ b).bit_count() <= distance)
-    got = brute_components(signed, signed, lambda a, b: (a, b) in pairs or (b, a) in pairs) if (pairs := {(e["a"], e["b"]) for e in edges}) else {x: x for x in signed}
-    assert got == root
+    assert {x: x if y is None else y for x, y in found.items()} == root
+
+
+def test_links_of_a_dense_group_are_linear(spark, monkeypatch):
+    r = random.Random(4)
+    middle = r.getrandbits(64)
+    fps = {middle}
+    while len(fps) < 2000:
+        fps.add(middle ^ sum(1 << b for b in r.sample(range(64), r.randrange(1, 5))))
+    signed = [int(x) for x in np.array([*fps], np.uint64).view(np.int64)]
+    plain, links = simhash.materialize, []
+
+    def counted(df, name):
+        found = plain(df, name)
+        links.append(found.count() if name == "links" else 0)
+        return found
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    found = simhash.labelled(spark.createDataFrame([(x,) for x in signed], "fp bigint")).collect()
+    assert {r["label"] or r["fp"] for r in found} == {min(signed)}
+    assert sum(links) <= 30 * len(fps)
+
+
+def test_a_forest_joins_what_its_links_join():
+    for seed in range(30):
+        r = random.Random(seed)
+        a, b = (np.array([r.randrange(40) for _ in range(60)]) for _ in range(2))
+        kept = simhash.forest(a, b)
+        every = range(40)
+        pairs, some = {*zip(a.tolist(), b.tolist())}, {*zip(a[kept].tolist(), b[kept].tolist())}
+        whole = brute_components(every, every, lambda x, y: (x, y) in pairs or (y, x) in pairs)
+        assert brute_components(every, every, lambda x, y: (x, y) in some or (y, x) in some) == whole
+        assert len(kept) == 40 - len({*whole.values()})
 
 
 def test_components_of_paths_stars_and_loops(spark):
