@@ -17,12 +17,14 @@ from colpack.llm.common import let
 ROUNDS = 8
 #: Splits a string into its characters.
 CHARACTERS = r"(?!^)(?!$)"
-KEY = "colpack-pseudonym-key"
+#: Characters that may stand before an address and are no part of it.
+BEFORE = r"^[._%+-]*"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: What is looked for, in order of preference at one place.
+#: What is looked for, in order of preference at one place.  Repeats without a bound are possessive
+#: and begin where no other could have begun before, so a search is linear and needs no deep stack.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "date": r"(?<![\d-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?![\d.]*\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ -]?)?(?:\(\d{3}\) ?|\d{3}[ -])\d{3}[ -]\d{4}(?![\w-])",
@@ -35,7 +37,7 @@ FIRST_DAY, DAYS, SIDE = "1900-01-01", 73049, 271
 
 
 def _shift(key: str, kind: str, round_no: Column, other: Column, place: Column) -> Column:
-    """A keyed hash of the other half, up to 2**48."""
+    """A keyed hash of the other half's hash, up to 2**48."""
     said = F.concat_ws("|", F.lit(key), F.lit(kind), round_no.cast("string"), place.cast("string"), other)
     return F.conv(F.substring(F.sha2(said, 256), 1, 12), 16, 10).cast("bigint")
 
@@ -46,7 +48,8 @@ def _network(places: Column, turned, key: str, kind: str, rounds: int = ROUNDS,
     def one(acc: Column, r: Column) -> Column:
         number = F.lit(rounds - 1) - r if inverse else r
         half = number % 2
-        other = F.array_join(F.filter(F.transform(acc, lambda x: x.cast("string")), lambda _, i: i % 2 != half), ",")
+        # hashed once a round, so that a long value costs no more than its length
+        other = F.sha2(F.array_join(F.filter(F.transform(acc, lambda x: x.cast("string")), lambda _, i: i % 2 != half), ","), 256)
         sign = -1 if inverse else 1
         return let(other, lambda o: F.transform(acc, lambda x, i: F.when(i % 2 == half, turned(x, sign * _shift(key, kind, number, o, i))).otherwise(x)))
 
@@ -129,15 +132,16 @@ def kind_of(value: Column) -> Column:
     )
 
 
-def pseudonym(value: Column, kind: Column, key: str = KEY, inverse: bool = False) -> Column:
+def pseudonym(value: Column, kind: Column, key: str, inverse: bool = False) -> Column:
     """The value of that kind under the key; a null kind leaves it as it is.
 
-    An address keeps its domain, a telephone number its country code.
+    An address keeps its domain and the marks before it, a telephone number its country code.
     """
+    before = F.regexp_extract(value, BEFORE, 0)
     at = F.instr(value, "@")
     prefix = F.regexp_extract(value, r"^(\+\d{1,3}[ -]?(?=\(|\d{3}[ -]))?", 0)
     return (
-        F.when(kind == "email", F.concat(permuted_text(F.substring(value, F.lit(1), at - 1), key, "email", inverse), F.substring(value, at, F.length(value))))
+        F.when(kind == "email", F.concat(before, permuted_text(F.substring(value, F.length(before) + 1, at - 1 - F.length(before)), key, "email", inverse), F.substring(value, at, F.length(value))))
         .when(kind == "date", permuted_date(value, key, inverse))
         .when(kind == "ip", permuted_ip(value, key, inverse))
         .when(kind == "card", permuted_card(value, key, inverse))
@@ -146,9 +150,11 @@ def pseudonym(value: Column, kind: Column, key: str = KEY, inverse: bool = False
     )
 
 
-def pseudonymize(df: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
+def pseudonymize(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
     """(id, text, n_email, n_date, n_ip, n_phone, n_card): each text with its valid values replaced.
 
+    Whoever has the key can invert it, so it has no default.
+
     What looks like a card number or date but fails its check is left alone.  A null text stays null with
     no finds, an empty one empty.  Repeated rows and null ids stay rows of their own; other columns are
     not read; an empty table gives no row.  Nothing is shuffled.
@@ -157,7 +163,7 @@ def pseudonymize(df: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col
     some = F.coalesce(text.rlike(r"\d|@"), F.lit(False))
     hits = F.transform(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     none = F.array().cast("array<struct<value:string,kind:string>>")
-    found = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")).withColumn("__hits", F.when(some, hits).otherwise(none))
+    found = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("__text")).withColumn("__hits", F.when(some, hits).otherwise(none))
     between = F.split(text, ANY, -1)
     new = F.array_join(F.flatten(F.zip_with(between, F.transform("__hits", lambda h: pseudonym(h["value"], h["kind"], key, inverse)), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     return found.select(
