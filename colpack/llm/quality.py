@@ -2,8 +2,8 @@
 
 Rules vote good (1), bad (-1) or abstain (0).  Expectation-maximisation over the counts of vote
 patterns, at most three to the number of rules whatever the corpus, estimates how accurate each
-rule's good and bad votes are, and the share of good documents; a document is kept if the posterior probability that it is good is
-at least one half.
+rule's good and bad votes are, and the share of good documents; a document is kept if the posterior
+probability that it is good is at least one half, so one weak bad vote does not condemn it.
 """
 
 import math
@@ -16,10 +16,10 @@ from colpack.llm.common import materialize
 SPACE = " \t\n\r\x0b\x0c"
 MIN_WORDS = 50
 ROUNDS = 100
-#: Evidence of one vote at most, and share of either class at least: nothing is certain.
-MOST, LEAST = 8.0, 0.05
-#: Accuracy that a rule is believed to have before its votes are compared.
-BEFOREHAND = 0.9
+#: Share of either class at least: nothing is certain.
+LEAST = 0.05
+#: Accuracy that a vote is believed to have before votes are compared, and how many documents that belief counts for.
+BEFOREHAND, STRENGTH = 0.8, 20
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines", "n_upper")
 
@@ -36,15 +36,16 @@ def rules() -> dict[str, Column]:
     """name -> vote, over the measures of a document."""
     word, symbols, dup = _ratio("word_chars", "n_words"), _ratio("n_symbols", "n_words"), _ratio("n_dup_lines", "n_lines")
     repeat, upper, ended = _ratio("n_repeat_words", "n_words"), _ratio("n_upper", "word_chars"), _ratio("n_ended_lines", "n_lines")
-    no = F.lit(False)
+    marks = _ratio("n_symbols", "word_chars")
     return {
-        "length": _vote(F.col("n_words") >= 2 * MIN_WORDS, no),
-        "prose": _vote(word.between(3, 10) & (ended >= 0.6), (word < 2.5) | (word > 14)),
-        "symbols": _vote(no, symbols > 0.1),
-        "dup_lines": _vote(no, dup > 0.4),
-        "repeats": _vote(no, repeat > 0.4),
-        "upper_case": _vote(no, upper > 0.4),
-        "open_lines": _vote(no, ended < 0.1),
+        "length": _vote(F.col("n_words") >= 2 * MIN_WORDS, F.col("n_words") < 10),
+        "word_length": _vote(word.between(3, 10), (word < 3) | (word > 10)),
+        "symbols": _vote(symbols <= 0.01, symbols > 0.1),
+        "marks": _vote(marks <= 0.01, marks > 0.05),
+        "dup_lines": _vote(dup <= 0.05, dup > 0.3),
+        "repeats": _vote(repeat <= 0.1, repeat > 0.3),
+        "upper_case": _vote(upper <= 0.1, upper > 0.3),
+        "open_lines": _vote(ended >= 0.95, ended < 0.9),
     }
 
 
@@ -90,29 +91,34 @@ def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
 def fit(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
     """(share of good, for each rule the evidence of a good and of a bad vote) by expectation-maximisation.
 
-    A vote's accuracy is the share of its documents that are of the class it names.  As many documents
-    as it has are added beforehand at accuracy BEFOREHAND: rules are written to be right, and one whose
-    finds no other rule shares would else count for nothing.  Evidence is the log odds of the accuracy
-    against those of the class as such; a good vote never counts against a document nor a bad vote for it.
-    Without rows the evidence is zero.
+    A vote's accuracy is the share of its documents that are of the class it names, with STRENGTH documents
+    added beforehand of which BEFOREHAND are, so a rule that others contradict loses its weight and may
+    even count the other way.  Evidence is the log odds of the accuracy against those of the class as
+    such.  The start is each document's majority; should the votes all in all end as evidence of the
+    other class, the classes have changed names and are changed back.  Without rows the evidence is zero.
     """
     total = sum(patterns.values())
     if not total:
         return 0.5, [(0.0, 0.0)] * len(rules())
     rows = sorted(patterns.items())
-    good = {votes: 1 - BEFOREHAND if -1 in votes else BEFOREHAND for votes in patterns}
+    good = {votes: (1 + votes.count(1)) / (2 + votes.count(1) + votes.count(-1)) for votes in patterns}
     odds = lambda p: math.log(p / (1 - p))
     share, evidence = 0.5, []
     for _ in range(rounds):
         share = min(1 - LEAST, max(LEAST, sum(n * good[v] for v, n in rows) / total))
         was, evidence = evidence, []
         for j in range(len(rows[0][0])):
-            right = {vote: (sum(n * (good[v] if vote > 0 else 1 - good[v]) for v, n in rows if v[j] == vote), sum(n for v, n in rows if v[j] == vote)) for vote in (1, -1)}
-            sure = {vote: (r + BEFOREHAND * (n + 1)) / (2 * n + 1) for vote, (r, n) in right.items()}
-            evidence.append((min(MOST, max(0.0, odds(min(sure[1], 1 - 1e-6)) - odds(share))), max(-MOST, min(0.0, odds(1 - min(sure[-1], 1 - 1e-6)) - odds(share)))))
+            told = []
+            for vote, base in ((1, share), (-1, 1 - share)):
+                cast = sum(n for v, n in rows if v[j] == vote)
+                right = sum(n * (good[v] if vote > 0 else 1 - good[v]) for v, n in rows if v[j] == vote)
+                told.append(vote * (odds((right + BEFOREHAND * STRENGTH) / (cast + STRENGTH)) - odds(base)))
+            evidence.append(tuple(told))
         good = {votes: posterior(votes, share, evidence) for votes in patterns}
         if was and max(abs(x - y) for a, b in zip(was, evidence) for x, y in zip(a, b)) < 1e-9:
             break
+    if sum(x - y for x, y in evidence) < 0:
+        return 1 - share, [(-x, -y) for x, y in evidence]
     return share, evidence
 
 
@@ -143,12 +149,12 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     an empty table gives no row; other columns are not read.  The measures are computed once and written
     without the texts; the fit sees them all.
     """
-    rows = materialize(measured(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).drop("text"), "measures")
+    rows = materialize(measured(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))).drop("text"), "measures")
     return judged(rows).select(F.col("id").alias(id_col), *MEASURES[:5], "base_failed", "kept", "posterior")
 
 
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of df that are kept, with df's own columns, which may have any names."""
-    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own"), F.col(text_col).alias("text"))
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own"), F.col(f"`{text_col}`").alias("text"))
     rows = materialize(measured(packed).drop("text"), "measured")
     return judged(rows).where("kept").select("own.*")
