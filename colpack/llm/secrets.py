@@ -24,8 +24,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("passw", "secret", "token", "api")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Labelled credentials of a kind, and ordinary strings, that the automata are fitted on at most.
-SAMPLE = 2000
+#: Labelled credentials of a kind, and ordinary strings, that the automata are fitted on at most, and how much of the beginning of each.
+SAMPLE, LONGEST = 2000, 200
 #: Confidence of the compatibility test; candidates score at least SCORE nats a character.
 ALPHA, SCORE = 0.05, 1.0
 #: Probability kept for what a state has never emitted.
@@ -169,9 +169,10 @@ def found_spans(text: str, scorer: Scorer) -> tuple[list[tuple[int, int, str]],
     return base, sorted(base + more, key=lambda s: (s[0], (*KINDS, FORMAT).index(s[2])))
 
 
-def fit_scorer(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Scorer:
+def fit_scorer(df: DataFrame, text_col: str = "text", sample: int = SAMPLE, longest: int = LONGEST) -> Scorer:
     """Automata from a bounded sample of the labelled credentials in df, of ordinary strings likewise.
 
+    The fit reads the first longest characters of a string; strings are scored whole, however long.
     Of each kind the sample values of least hash are taken, over the whole table, so the choice does not
     depend on the order of rows.  At most sample strings of each kind reach the driver.
     """
@@ -191,15 +192,15 @@ def fit_scorer(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> S
                     if not any(x < b and a < y for x, y, _ in base):
                         kinds.append("ordinary")
                         values.append(text[a:b])
-                for w in text.split()[:: max(1, len(text) // 400)]:
-                    if (m := CANDIDATE.match(w)) and not base_spans(w):
+                for w in text.split():
+                    if len(w) >= 16 and (m := CANDIDATE.match(w)) and not base_spans(w):
                         kinds.append("ordinary")
                         values.append(m.group())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
 
-    labelled = df.select(F.col(text_col).alias("__text")).mapInArrow(run, "kind string, value string")
+    labelled = df.select(F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, "kind string, value string")
     strings: dict[str, list[str]] = {}
-    rows = materialize(labelled.where(F.length("value") <= 200).distinct(), "credentials")
+    rows = materialize(labelled.select("kind", F.substring("value", 1, longest).alias("value")).distinct(), "credentials")
     for kind in (*KINDS, "ordinary"):
         strings[kind] = [r["value"] for r in rows.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
     return Scorer({k: strings[k] for k in KINDS}, strings["ordinary"])
@@ -230,7 +231,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 spans.append(_digest(every))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base_digest, pa.string()), pa.array(spans, pa.string())], [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def mask(text: str, spans, word: str = "[SECRET]") -> str:
