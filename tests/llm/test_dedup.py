@@ -287,13 +287,31 @@ def test_recordings_align(spark):
     other = r.integers(0, 256, 20000).astype(np.uint8).tobytes()
     rows = [(1, song, 0), (2, song, 0), (3, song[64 * 20 :], 0), (4, other, 0), (5, None, 0), (6, b"", 0), (None, song, 0), (7, song[:300], 0), (8, r.integers(0, 256, 3000).astype(np.uint8).tobytes() + song, 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, media binary, class_id int").coalesce(1)
-    found = audio.align_recordings(df, media_col="media").collect()
+    found = audio.align_recordings(df, media_col="media", frame=256, hop=64).collect()
     assert len(found) == len(rows)
     classes = {r["doc_id"]: r["class_id"] for r in found}
     assert classes == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, None: 1, 7: 7, 8: 1}
     third = next(r for r in found if r["doc_id"] == 3)
     assert third["offset"] == 20 and third["bit_errors"] == 0 and third["overlap"] == third["n_ints"]
-    assert audio.align_recordings(df.limit(0), media_col="media").count() == 0
+    assert audio.align_recordings(df.limit(0), media_col="media", frame=256, hop=64).count() == 0
+
+
+def test_equal_texts_of_any_length_align(spark, sf):
+    found = {r["doc_id"]: r for r in queries.op1_chroma_fingerprints(spark, sf).collect()}
+    first = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
+        if r["text"]:
+            assert found[r["doc_id"]]["class_id"] == found[first.setdefault(r["text"], r["doc_id"])]["class_id"]
+    df = spark.createDataFrame([(1, b"ab"), (2, b"ab"), (3, b"abc"), (4, b""), (5, b""), (6, None)], "doc_id bigint, media binary").coalesce(1)
+    short = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in audio.align_recordings(df, media_col="media").collect()}
+    assert short == {1: (1, 0), 2: (1, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0), 6: (6, 0)}
+
+
+def test_long_frames_tell_low_semitones_apart():
+    for note in range(12):
+        tone = 110 * 2 ** (note / 12)
+        samples = (128 + 100 * np.sin(2 * np.pi * tone * np.arange(16384) / audio.RATE)).astype(np.uint8)
+        assert (audio.chroma(samples).argmax(axis=1) == note).all()
 
 
 def test_integral_image_filters_equal_plain_sums():
