@@ -2,6 +2,7 @@
 
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local default where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a local one where it is unset and all runs in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file:///tmp/colpack-shared"
     return found.rstrip("/") + "/colpack-" + spark.sparkContext.applicationId
 
@@ -37,8 +40,20 @@ def drop_kept() -> None:
         kept.clear()
 
 
-#: Folders of intermediate tables that still exist, as (application, path).
-_scratch: list[tuple[str, str]] = []
+#: Folders of intermediate tables that still exist, as (application, path, owner).
+_scratch: list[tuple[str, str, str | None]] = []
+#: Who owns the intermediate tables that are being written; nobody but for the stages of a pipeline.
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned(owner: str):
+    """Inside, intermediate tables belong to owner, whose release() deletes them."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -58,14 +73,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     files, at = _file_system(spark, path)
     files.deleteOnExit(at)
-    _scratch.append((spark.sparkContext.applicationId, path))
+    _scratch.append((spark.sparkContext.applicationId, path, _owner.get()))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    files, at = _file_system(spark, path)
+def _drop(spark: SparkSession, entry: tuple) -> None:
+    files, at = _file_system(spark, entry[1])
     files.delete(at, True)
-    _scratch.remove((spark.sparkContext.applicationId, path))
+    _scratch.remove(entry)
 
 
 def _read_by(df: DataFrame) -> set[str]:
@@ -76,20 +91,17 @@ def _read_by(df: DataFrame) -> set[str]:
 def discard(df: DataFrame) -> None:
     """Delete the intermediate tables that df reads, when nothing reads them any more."""
     read = _read_by(df)
-    for app, path in [*_scratch]:
-        if app == df.sparkSession.sparkContext.applicationId and path.rsplit("/", 1)[1] in read:
-            _drop(df.sparkSession, path)
+    for entry in [*_scratch]:
+        if entry[0] == df.sparkSession.sparkContext.applicationId and entry[1].rsplit("/", 1)[1] in read:
+            _drop(df.sparkSession, entry)
 
 
-def release(docs: DataFrame) -> None:
-    """Delete all intermediate tables of this application but those that docs reads.
-
-    For the start of a pipeline stage, whose docs have been written: nothing else is read after that.
-    """
+def release(docs: DataFrame, owner: str) -> None:
+    """Delete the intermediate tables of owner but those that docs reads; those of others stay."""
     read = _read_by(docs)
-    for app, path in [*_scratch]:
-        if app == docs.sparkSession.sparkContext.applicationId and path.rsplit("/", 1)[1] not in read:
-            _drop(docs.sparkSession, path)
+    for entry in [*_scratch]:
+        if entry[0] == docs.sparkSession.sparkContext.applicationId and entry[2] == owner and entry[1].rsplit("/", 1)[1] not in read:
+            _drop(docs.sparkSession, entry)
 
 
 @contextmanager
