@@ -11,7 +11,7 @@ import functools
 import public_tokenizers
 
 from colpack.llm import packing, passages, quality, secrets, simhash
-from colpack.llm.common import materialize, release
+from colpack.llm.common import discard, materialize, owned, release
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -39,18 +39,21 @@ def best_fit_packing(spark, docs, sf_dir):
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _after_writing(stage):
-    """The stage, which first drops what its predecessors wrote on their way: their results have been written."""
+def _stage(stage, before):
+    """(name, stage): it owns what it writes on its way, and first drops what the stage before it wrote and docs don't read."""
 
     @functools.wraps(stage)
     def run_stage(spark, docs, sf_dir):
-        release(docs)
-        return stage(spark, docs, sf_dir)
+        if before:
+            release(docs, before.__name__)
+        with owned(stage.__name__):
+            return stage(spark, docs, sf_dir)
 
-    return run_stage
+    return stage.__name__, run_stage
 
 
-STAGES = [(stage.__name__, _after_writing(stage)) for stage in (quality_rules, near_dedup, substring_dedup, secret_scans, best_fit_packing)]
+_IN_ORDER = (quality_rules, near_dedup, substring_dedup, secret_scans, best_fit_packing)
+STAGES = [_stage(stage, before) for before, stage in zip((None, *_IN_ORDER), _IN_ORDER)]
 
 #: No SQL: expectation-maximisation, chaining and grammar inference are tested against brute force.
 ORACLE_SQL = None
@@ -60,5 +63,6 @@ def run(spark, sf_dir):
     """The packed pieces of sf_dir's documents; what a stage returns is written once for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)  # input tables are none of ours and stay
     return STAGES[-1][1](spark, docs, sf_dir)
