@@ -28,9 +28,9 @@ CAPACITY = 4096
 #: The id that ends every document.
 END = 1
 #: Pieces of text, and words, whose ids a worker keeps at most, and the longest of them that is kept.
-CACHE, LONGEST = 1_000_000, 64
+CACHE, LONGEST = 500_000, 64
 #: Bytes of text that are encoded together.
-GROUP = 1 << 23
+GROUP = 1 << 22
 
 
 class DocumentEncoder:
