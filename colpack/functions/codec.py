@@ -100,9 +100,12 @@ class Decoder:
 
     def decompress(self, block) -> bytes:
         """The raw bytes of any block, those of a typed one little-endian."""
+        return self.finish(block, *self.open(block))
+
+    def finish(self, block, payload: bytes, dtype: int, flags: int) -> bytes:
+        """The raw bytes of a block that open() has opened."""
         from colpack.functions.typed import untransform
 
-        payload, dtype, flags = self.open(block)
         data = untransform(payload, dtype, flags)
         if flags & CHECKSUM and zlib.crc32(data) != struct.unpack_from("<I", block, HEAD.size)[0]:
             raise CorruptedData("the checksum differs")

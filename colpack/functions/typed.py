@@ -60,13 +60,20 @@ def _undelta(codes: np.ndarray) -> np.ndarray:
     return np.cumsum(step, dtype=codes.dtype)
 
 
+#: Bytes of an array that is too short for a transform to pay.
+TINY = 64
+
+
 def encode(encoder: Encoder, values: np.ndarray, dtype: str) -> bytes:
-    """A typed block of an array, by the transform that packs it best."""
+    """A typed block of an array, by the transform that packs it best; arrays of up to TINY bytes have none."""
     number = dtype_number(dtype)
     values = np.ascontiguousarray(values, NUMPY[number])
     if not len(values):
         raise EmptyInput("an array without elements")
-    words, raw = _bits(values), values.tobytes()
+    raw = values.tobytes()
+    if len(raw) <= TINY:
+        return encoder.compress(raw, number, 0, encoder.pack(raw))
+    words = _bits(values)
     with np.errstate(over="ignore"):
         forms = {0: raw, TRANSPOSED: _transpose(words), TRANSPOSED | DELTA: _transpose(_delta(words))}
     packed = {flags: encoder.pack(form) for flags, form in forms.items()}
@@ -91,10 +98,10 @@ def untransform(payload: bytes, dtype: int, flags: int) -> bytes:
 def decode(decoder: Decoder, block, dtype: str, reinterpret: bool = False) -> np.ndarray:
     """The array in a block.  Another type than it was made of is an error, or with reinterpret a new view of the bytes."""
     number = dtype_number(dtype)
-    _, made, _ = decoder.open(block)
+    payload, made, flags = decoder.open(block)
     if made != number and not reinterpret:
         raise TypeMismatch(f"the block holds type {made}, not {number} ({dtype})")
-    return from_bytes(decoder.decompress(block), dtype)
+    return from_bytes(decoder.finish(block, payload, made, flags), dtype)
 
 
 def from_bytes(data: bytes, dtype: str) -> np.ndarray:

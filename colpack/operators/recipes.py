@@ -13,7 +13,7 @@ def ratio(raw: Column, block: Column) -> Column:
 
 
 def compare_codecs(df: DataFrame, payload: str, codecs=("zlib", "zstd")) -> DataFrame:
-    """(codec, n_blocks, raw_bytes, compressed_bytes), a row for each codec."""
+    """(codec, n_blocks, raw_bytes, compressed_bytes), a row for each codec; empty payloads, which make no block, count nowhere."""
     sized = df.where(F.octet_length(payload) > 0).select(F.octet_length(payload).cast("bigint").alias("raw"), *(F.octet_length(compress(F.col(payload), c)).cast("bigint").alias(c) for c in codecs))
     long = sized.select("raw", F.inline(F.array(*(F.struct(F.lit(c).alias("codec"), F.col(c).alias("n")) for c in codecs))))
     return long.groupBy("codec").agg(F.count("*").alias("n_blocks"), F.sum("raw").alias("raw_bytes"), F.sum("n").alias("compressed_bytes"))
