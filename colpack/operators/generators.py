@@ -8,7 +8,7 @@ from colpack.operators.frames import joined_bytes
 #: What the text generators repeat.
 PATTERN = "This is a test pattern that repeats. "
 SENTENCE = "the quick brown fox jumps over lazy dog "
-LINE = "This is a test line with some content. \n"
+LINE = "Test pattern for large file compression.\n"
 
 
 def repeated_text(text: str, size: int) -> Column:

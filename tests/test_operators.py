@@ -93,6 +93,7 @@ def test_reader_statuses(change, status, n):
 
 def test_repeating_frames(spark):
     found = generators.repeating_frames(spark, 100_000, 4096).orderBy("frame_no").collect()
+    assert len(generators.LINE) == 41
     whole = (generators.LINE * 3000)[:100_000].encode()
     assert b"".join(bytes(r["payload"]) for r in found) == whole
 
