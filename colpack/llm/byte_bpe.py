@@ -143,7 +143,7 @@ def encode_documents(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc
             ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
-    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode_documents(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -156,7 +156,7 @@ def decode_documents(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc
             data = [bpe.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], [id_col, "decoded"])
 
-    return df.select(F.col(id_col), F.col(ids_col).alias("__ids")).mapInArrow(run, f"`{id_col}` {kind}, decoded binary")
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{ids_col}`").alias("__ids")).mapInArrow(run, f"`{id_col}` {kind}, decoded binary")
 
 
 def round_trip_digests(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,4 +180,4 @@ def round_trip_digests(df: DataFrame, ranks: str, pattern: str, id_col: str = "d
                 of_text.append(hashlib.sha256(b"".join(map(tokens, ids))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -21,6 +21,8 @@ from colpack.llm.common import kept_by_worker
 
 #: Words whose counts a worker keeps at most; beyond, the older half goes.
 CACHE_WORDS = 400_000
+#: Longest word that a worker keeps.
+LONGEST = 64
 #: Letters whose lower case is newer than Python's tables, and the sigma that
 #: str.lower() would treat by its neighbours.
 LOWER = {"Σ": "σ", "\ua7cb": "\u0264", "\ua7dc": "\u019b"}
@@ -42,7 +44,7 @@ def byte_letters() -> list[str]:
 
 
 class WordCache(dict):
-    """word -> value, computed by make at the first look-up; bounded by dropping the older half."""
+    """word -> value, computed by make at the first look-up; bounded by dropping the older half and by keeping no word of over LONGEST characters."""
 
     def __init__(self, make, most: int = CACHE_WORDS):
         super().__init__()
@@ -52,7 +54,9 @@ class WordCache(dict):
         if len(self) >= self.most:
             for old in [w for w, _ in zip(self, range(self.most // 2))]:
                 del self[old]
-        value = self[word] = self.make(word)
+        value = self.make(word)
+        if len(word) <= LONGEST:
+            self[word] = value
         return value
 
 
@@ -209,4 +213,4 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 2048, id_col: str =
                 [id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
