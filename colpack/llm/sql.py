@@ -27,7 +27,9 @@ def license_scans() -> str:
     for k, (template, label) in enumerate(TEMPLATES.items()):
         words = [*dict.fromkeys(template.split())]
         need = math.ceil(THRESHOLD * len(words))
-        shares.append((f"list_max(list_transform(blocks, lambda b: len(list_intersect(b, {_listed(words)}))))", need, len(words), label, f"c{k}"))
+        step = len(template.split())
+        stretches = f"list_transform(range(0, len(ws), {step}), lambda i: ws[i + 1 : i + {2 * step}])"
+        shares.append((f"list_max(list_transform(blocks || {stretches}, lambda b: len(list_intersect(b, {_listed(words)}))))", need, len(words), label, f"c{k}"))
     counted = ", ".join(f"{most} AS {name}" for most, _, _, _, name in shares)
     met = " || ".join(f"CASE WHEN {name} >= {need} THEN ['{label}'] ELSE [] END" for _, need, _, label, name in shares)
     best = ", ".join(f"CASE WHEN {name} >= {need} THEN {name} / {n}::DOUBLE ELSE 0 END" for _, need, n, _, name in shares)

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import textwrap
 import time
 from collections import Counter
 
@@ -130,10 +131,9 @@ def licensed(text):
             if w[i : i + len(p)] == p:
                 places.append(i)
                 base.add(label)
-    for line in text.split("\n"):
-        block = {*fold(line)}
-        for template, label in licenses.TEMPLATES.items():
-            t = {*template.split()}
+    for template, label in licenses.TEMPLATES.items():
+        t, n = {*template.split()}, len(template.split())
+        for block in map(set, [*map(fold, text.split("\n")), *(w[i : i + 2 * n] for i in range(0, len(w), n))]):
             if len(block & t) >= math.ceil(licenses.THRESHOLD * len(t)):
                 every.add(label)
                 score = max(score, len(block & t) / len(t))
@@ -146,13 +146,24 @@ def test_licenses_of_all_documents(spark, sf):
 
 def test_license_edge_rows(spark):
     texts = [None, "", "...", "Under the MIT License under the mit license\nCC-BY-NC x", "İ K Under THE MIT license", "this work's licensed: GNU general public license version 3", "x under the mit licenses", "cc by\nnc", "license " * 50000,
-             "permission is granted free of charge to any person obtaining a copy of this software", "This source code form, subject to terms of the Mozilla Public License v. 2.0"]
+             "permission is granted free of charge to any person obtaining a copy of this software", "This source code form, subject to terms of the Mozilla Public License v. 2.0",
+             "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided", "Permission is\nhereby granted,\nfree of charge, to any\nperson obtaining a\ncopy of this software"]
     df = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)] + [(None, "x", ""), (3, texts[3], "")], "doc_id bigint, text string, labels string")
     found = [(str(r["doc_id"]), *tuple(r)[1:]) for r in licenses.scan(df).collect()]
     assert sorted(found, key=str) == sorted([(str(i), *licensed(t)) for i, t in [*enumerate(texts), (None, "x"), (3, texts[3])]], key=str)
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(df).collect() if r["doc_id"] in (11, 12)} == {11: "bsd", 12: "mit"}
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before", [0, 7, 40])
+def test_wrapped_templates_are_found_anywhere(spark, before):
+    texts = ["filler " * before + "\n * ".join(textwrap.wrap(t, 24)) + " filler" * 50 for t in licenses.TEMPLATES]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    for i, label in enumerate(licenses.TEMPLATES.values()):
+        assert label in found[i]["labels"].split(",") and found[i]["score"] == 1.0 and tuple(found[i])[1:] == licensed(texts[i])
+
+
 PERSONAL = "mail hble.82@mail3.example.com or 4875612363402641, ip 65.231.209.153. call +1 (987) 555-5891 on 2024-02-29 or 2023-02-30; 4111 1111 1111 1111 x 4111111111111112 300.1.1.1 1900-01-01 2099-12-31"
 
 
