@@ -1,7 +1,7 @@
 """Secret scans by grammar inference (operator 10).
 
-Fixed rules find labelled credentials.  For each kind a prefix tree of their character classes is
-folded into a probabilistic automaton: two states are merged where their outgoing frequencies are
+Fixed rules find labelled credentials.  For each kind, and each alphabet in it, a prefix tree of
+their character classes is folded into a probabilistic automaton: two states are merged where their outgoing frequencies are
 statistically compatible, all the way down.  Every candidate string of every text is then scored by
 how much likelier its format is under one of the automata than in ordinary text.
 """
@@ -9,6 +9,8 @@ how much likelier its format is under one of the automata than in ordinary text.
 import hashlib
 import math
 import re
+from collections import Counter
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -142,14 +144,34 @@ class Automaton:
         return total
 
 
+def alphabet(string: str) -> frozenset[str]:
+    """The character classes of a string."""
+    return frozenset(string.translate(CLASS_OF))
+
+
 class Scorer:
-    """Format likelihood against ordinary strings."""
+    """Format likelihood against ordinary strings.
+
+    Each kind has an automaton, and so has each alphabet within it, as one kind can hold several formats.
+    Credentials without a label stand among the ordinary strings and must not vouch for their format: left
+    out are those that an automaton explains better than random characters and whose alphabet is a larger
+    part of the labelled strings than of the ordinary ones.  A format no rarer among ordinary strings than
+    among labelled ones counts as ordinary.
+    """
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        self.automata = {k: Automaton(v) for k, v in labelled.items() if v}
+        formats: dict[tuple, list[str]] = {}
+        for kind, strings in labelled.items():
+            for s in strings:
+                formats.setdefault((kind,), []).append(s)
+                formats.setdefault((kind, alphabet(s)), []).append(s)
+        self.automata = {f: Automaton(strings) for f, strings in formats.items()}
+        self.flat = -math.log(sum(map(len, CLASSES.values())))
+        self.plain = None
+        credentials, others = (Counter(map(alphabet, strings)) for strings in (chain(*labelled.values()), ordinary))
+        m, n = credentials.total(), others.total()
+        ordinary = [s for s in ordinary if credentials[alphabet(s)] * n <= others[alphabet(s)] * m or self(s) <= 0]
         self.plain = Automaton(ordinary) if ordinary else None
-        flat = -math.log(sum(map(len, CLASSES.values())))
-        self.flat = flat
 
     def __call__(self, string: str) -> float:
         """Nats a character by which the best automaton beats ordinary text; -inf without automata."""

@@ -362,6 +362,24 @@ def test_pipeline_runs_and_leaves_other_results_alone(spark, sf):
     assert max(ends.values()) <= 4096
 
 
+@pytest.mark.parametrize("weak", [0, 150])
+def test_recall_and_precision_of_added_spans_on_held_out_credentials(spark, weak):
+    """Unlabelled keys of the formats that labelled ones have, among ordinary strings; weak labelled values look ordinary."""
+    rnd = random.Random(5)
+    made = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    keys = [lambda: made("0123456789abcdef", 28), lambda: made("0123456789ABCDEF", 24), lambda: "-".join(made("0123456789abcdef", 4) for _ in range(5))]
+    names = "order user total config server cache value index session region".split()
+    plain = [lambda: "_".join(rnd.sample(names, 3)) + f"_{rnd.randrange(100)}", lambda: f"{rnd.choice(names)}-2024-{rnd.randrange(1, 13):02d}-{rnd.randrange(1, 29):02d}-notes", lambda: rnd.choice(names).title() + rnd.choice(names).title() + f"Factory{rnd.randrange(999)}Impl"]
+    fit = [(f"token = {keys[i % 3]()}", None) for i in range(300)] + [(f"see {plain[i % 3]()} there", None) for i in range(300)] + [(f"password: {plain[i % 3]()}", None) for i in range(weak)]
+    held = [(f"use {keys[i % 3]()} here", True) for i in range(150)] + [(f"see {plain[i % 3]()} there", False) for i in range(150)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(fit + held)], "doc_id bigint, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(df).collect()}
+    found = [(secret, "format:" in spans[len(fit) + i]) for i, (_, secret) in enumerate(held)]
+    hits = sum(f for secret, f in found if secret)
+    assert hits >= 0.9 * 150, Counter(i % 3 for i, (secret, f) in enumerate(found) if secret and not f)
+    assert hits >= 0.9 * sum(f for _, f in found)
+
+
 def test_licenses_equal_sql(spark, sf):
     from colpack.llm.sql import oracle_sql
     from tests.oracle import compare
