@@ -296,6 +296,72 @@ def test_recordings_align(spark):
     assert audio.align_recordings(df.limit(0), media_col="media", frame=256, hop=64).count() == 0
 
 
+def aligned_by_hand(a, b):
+    """(overlap, -bits, offset) of the longest alignment of two lists of integers, offset by offset."""
+    best = None
+    for offset in range(1 - len(a), len(b)):
+        beside = [(a[i], b[i + offset]) for i in range(len(a)) if 0 <= i + offset < len(b)]
+        votes = {(x, u) for (x, y), (u, v) in zip(beside, beside[1:]) if x == y and u == v}
+        wrong = sum((x ^ y).bit_count() for x, y in beside)
+        if len(votes) >= 2 and len(beside) >= 4 and wrong <= 0.15 * 32 * len(beside):
+            best = max(best or (0,), (len(beside), -wrong, -offset))
+    return best
+
+
+def test_recordings_align_whoever_else_has_their_integers(spark):
+    r = np.random.default_rng(8)
+    song, noise = (r.integers(0, 256, n).astype(np.uint8).tobytes() for n in (12800, 12800))
+    # the first two hold all integers of the next two, but neither aligns with them as a whole
+    rows = [(1, song[:6400] + noise[:6400]), (2, noise[6400:] + song[6000:]), (3, song), (4, song[640:]), (5, song[:-640])]
+    found = {r["doc_id"]: r for r in audio.align_recordings(spark.createDataFrame(rows, "doc_id bigint, media binary").coalesce(1), media_col="media", frame=256, hop=64).collect()}
+    assert {i: (f["class_id"], f["n_links"]) for i, f in found.items()} == {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (3, 1), 5: (3, 2)}
+
+
+def test_links_of_all_documents_equal_those_found_by_hand(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = {r["doc_id"]: r for r in queries.op1_chroma_fingerprints(spark, sf).collect()}
+    ints = {i: audio.fingerprint((t or "").encode(), frame=256, hop=64).tolist() for i, t in texts.items() if not found[i]["is_copy"]}
+    ints = {i: x for i, x in ints.items() if len(x) >= 4}
+    assert len({*map(tuple, ints.values())}) == len(ints)
+    held = {}
+    for i, x in ints.items():
+        for pair in {*zip(x, x[1:])}:
+            held.setdefault(pair, []).append(i)
+    links = sum(aligned_by_hand(ints[a], ints[b]) is not None for a, b in {(a, b) for ids in held.values() for a in ids for b in ids if a < b})
+    assert links == sum(r["n_links"] for r in found.values() if not r["is_copy"])
+
+
+@given(st.integers(0, 1 << 30), st.integers(4, 30), st.integers(4, 30), st.integers(0, 3))
+@settings(max_examples=60, deadline=None)
+def test_every_offset_is_tried(seed, n, m, flips):
+    r = np.random.default_rng(seed)
+    some = r.integers(0, 1 << 32, 3, dtype=np.uint32)
+    a, b = some[r.integers(0, 3, n)], some[r.integers(0, 3, m)]
+    for x in r.integers(0, m, flips):
+        b[x] ^= np.uint32(1 << int(r.integers(32)))
+    best = aligned_by_hand(a.tolist(), b.tolist())
+    with pytest.MonkeyPatch.context() as patched:
+        for most in (64, 0):  # one by one, and by correlation
+            patched.setattr(audio, "OFFSETS", most)
+            assert audio.alignment(a, b) == (best and (-best[2], best[0], -best[1]))
+
+
+def test_frequent_pairs_vote_by_correlation():
+    silence = np.zeros(4000, np.uint32)
+    tune = np.arange(1, 60, dtype=np.uint32) * np.uint32(0x9E3779B1)
+    a, b = np.concatenate([silence, tune, silence]), np.concatenate([silence, silence, tune])
+    assert audio.alignment(silence, silence[:100]) is None
+    assert audio.alignment(a, b) == (4000, 4059, 0)
+
+
+def test_every_two_that_share_hashes_meet_in_groups(spark):
+    r = random.Random(2)
+    has = {rid: r.sample(range(6), 3) for rid in range(40)}
+    rows = [(h, rid) for rid, hs in has.items() for h in hs]
+    found = audio.sharing(spark.createDataFrame(rows, "hash bigint, rid bigint"), group=7).collect()
+    assert sorted((x["rid"], x["other"]) for x in found) == sorted((a, b) for a in has for b in range(a) if len({*has[a]} & {*has[b]}) >= 2)
+
+
 def test_equal_texts_of_any_length_align(spark, sf):
     found = {r["doc_id"]: r for r in queries.op1_chroma_fingerprints(spark, sf).collect()}
     first = {}
