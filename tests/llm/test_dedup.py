@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -281,6 +282,46 @@ def test_common_words(a, b):
     assert passages.common(np.array(a, np.uint16), np.array(b, np.uint16)) == table[-1][-1]
 
 
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=30))
+def test_cover_tells_what_any_span_would(spans):
+    cover, held = passages.Cover(), []
+    for a, b in spans:
+        assert cover.holds(a, b) == any(x <= a and b <= y for x, y in held)
+        cover.add(a, b)
+        held.append((a, b))
+
+
+def test_spans_of_a_long_document_are_not_scanned_one_by_one():
+    class Counted(int):
+        seen = 0
+
+        def __le__(self, other):
+            Counted.seen += 1
+            return int(self) <= int(other)
+
+        def __lt__(self, other):
+            Counted.seen += 1
+            return int(self) < int(other)
+
+        def __ge__(self, other):
+            Counted.seen += 1
+            return int(self) >= int(other)
+
+    cover = passages.Cover()
+    for i in range(3000):
+        cover.add(Counted(50 * i), Counted(50 * i + 45))
+        assert not cover.holds(Counted(50 * i), Counted(50 * i + 46))
+    assert Counted.seen < 3000 * 100
+
+
+def test_chains_are_read_as_rows():
+    chain = pa.struct([("chain", pa.list_(pa.int32())), ("far", pa.bool_()), ("other_id", pa.int64()), ("start", pa.int32()), ("part", pa.binary())])
+    one, two = ({"chain": [0, 7, 5], "far": True, "other_id": None, "start": 3, "part": b"ab"}, {"chain": [1, 2, 5, 9, 9, 5], "far": False, "other_id": 4, "start": 0, "part": b""})
+    column = pa.array([[one], None, [], [two, one], [two]], pa.list_(chain))
+    for some in (column, column.slice(1, 3), column.slice(3), column.slice(0, 0)):
+        assert passages._chains_of(some) == some.to_pylist()
+
+
 def test_recordings_align(spark):
     r = np.random.default_rng(5)
     song = r.integers(0, 256, 20000).astype(np.uint8).tobytes()
