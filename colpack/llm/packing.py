@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colpack.llm.common import by_size, kept_by_worker, materialize
+from colpack.llm.common import by_size, kept_by_worker, lean, materialize
 from colpack.llm.token_counts import SEPARATORS, WordSplitter, plain_parts
 
 CAPACITY = 4096
@@ -170,7 +170,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col:
                 [id_col, "piece", "start", "length", "ids_crc32", "part", "nth"],
             )
 
-    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint")
+    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(lean(run), f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint")
 
 
 class LengthIndex:
@@ -330,4 +330,4 @@ def pack_documents(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
                     sequence[rows], offset[rows] = to[k] + rank[rows] - first[k], at[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(lean(run), f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colpack.llm.common import drop_kept, materialize
+from colpack.llm.common import drop_kept, lean, materialize
 
 KINDS = ("assign", "access", "hex")
 #: Kind of the spans that only the automata find.
@@ -220,7 +220,7 @@ def fit_scorer(df: DataFrame, text_col: str = "text", sample: int = SAMPLE, long
                         values.append(m.group())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
 
-    labelled = df.select(F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, "kind string, value string")
+    labelled = df.select(F.col(f"`{text_col}`").alias("__text")).mapInArrow(lean(run), "kind string, value string")
     strings: dict[str, list[str]] = {}
     rows = materialize(labelled.select("kind", F.substring("value", 1, longest).alias("value")).distinct(), "credentials")
     for kind in (*KINDS, "ordinary"):
@@ -253,7 +253,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 spans.append(_digest(every))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base_digest, pa.string()), pa.array(spans, pa.string())], [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(lean(run), f"`{id_col}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def mask(text: str, spans, word: str = "[SECRET]") -> str:
@@ -284,4 +284,4 @@ def redact(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars", sa
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colpack.llm.common import cleaned_shuffles, drop_kept, materialize
+from colpack.llm.common import cleaned_shuffles, drop_kept, lean, materialize
 from colpack.llm.components import components
 
 #: Odd factor that spreads variants over the buckets, and its inverse modulo 2**64.
@@ -59,7 +59,7 @@ def fingerprints(df: DataFrame, shingle: int = 4, seed: int = 42, id_col: str =
             found = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], [id_col, "fp"])
 
-    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return df.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(lean(run), f"`{id_col}` {kind}, fp bigint")
 
 
 def masks(radius: int) -> np.ndarray:
@@ -172,7 +172,7 @@ def labelled(different: DataFrame, distance: int = 4) -> DataFrame:
     for number, (low, high) in enumerate(zip(bounds, bounds[1:])):
         buckets = max(LEAST_BUCKETS, n * len(ball) * (high - low) // (BUCKET << 64))
         shift = ((high - low) // buckets).bit_length() - 1
-        spread = now.repartition(max(1, -(-n // TASK))).mapInArrow(_emitted(ball, low, high - low, shift), "bucket int, keys binary, which binary, labels binary")
+        spread = now.repartition(max(1, -(-n // TASK))).mapInArrow(lean(_emitted(ball, low, high - low, shift)), "bucket int, keys binary, which binary, labels binary")
         links = materialize(spread.groupBy("bucket").applyInArrow(_met(ball, distance), "a bigint, b bigint").distinct(), "links")
         if number == 0:
             now = _contracted(now, links)
@@ -225,7 +225,7 @@ def keep_one(df: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "
 
     with cleaned_shuffles(df.sparkSession):
         packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("own"))
-        rows = materialize(packed.mapInArrow(run, f"rid bigint, fp bigint, own {own.simpleString()}"), "fingerprinted")
+        rows = materialize(packed.mapInArrow(lean(run), f"rid bigint, fp bigint, own {own.simpleString()}"), "fingerprinted")
         # nulls come after all ids
         key = F.struct(F.col(f"own.`{id_col}`").isNull().alias("none"), F.col(f"own.`{id_col}`").alias("id"), "rid")
         classes = materialize(rows.select("fp", key.alias("key")).groupBy("fp").agg(F.min("key").alias("least")), "classes")

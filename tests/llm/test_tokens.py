@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from colpack.llm import byte_bpe, packing, queries, token_counts
+from colpack.llm.common import lean
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -157,3 +160,23 @@ def test_ranks_survive_many_tasks(spark):
     r = random.Random(1)
     df = spark.createDataFrame([(i, "a " * r.choice([5, 5, 5, 90, 700, 3000])) for i in range(300)], "doc_id bigint, text string").repartition(7)
     check_sequences(packing.pack_documents(df, WORDS).collect())
+
+
+def test_workers_give_free_memory_back_when_a_task_ends():
+    def held():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()).group(1)) / 1024
+
+    def run(batches):
+        many = [bytes([i % 256]) * 800 for i in range(200_000)]
+        yield from batches
+        last.append(bytes(800))  # above all others in the heap, which therefore keeps what is freed below
+        del many
+        yield held()
+
+    last = []
+    before = held()
+    *_, after_run = run([1])
+    kept = after_run - before
+    *_, _ = lean(run)([1])
+    assert kept > 100
+    assert held() - before < kept / 2
