@@ -30,7 +30,9 @@ END = 1
 #: Pieces of text, and words, whose ids a worker keeps at most, and the longest of them that is kept.
 CACHE, LONGEST = 500_000, 64
 #: Bytes of text that are encoded together.
-GROUP = 1 << 22
+GROUP = 1 << 21
+#: Words that the library sees in one call: it needs hundreds of bytes for each until the call ends.
+CALL = 1 << 13
 
 
 class DocumentEncoder:
@@ -63,12 +65,14 @@ class DocumentEncoder:
         return cls._of[path]
 
     def by_library(self, texts: list[str]) -> list[bytes]:
-        return [pack("<%dI" % len(e.ids), *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        calls = (self.tokenizer.encode_batch_fast(texts[k : k + CALL], add_special_tokens=False) for k in range(0, len(texts), CALL))
+        return [pack("<%dI" % len(ids), *ids) for call in calls for ids in (e.ids for e in call)]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that stay one word each between spaces."""
-        if not words:
-            return []
+        """Ids of words that stay one word each between spaces, some words a call."""
+        return [ids for k in range(0, len(words), CALL) for ids in self._encode_some(words[k : k + CALL])]
+
+    def _encode_some(self, words: list[str]) -> list[bytes]:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(np.append(True, self.ends[np.minimum(ids, len(self.ends) - 1)]))
         if len(cuts) != len(words) + 1 or cuts[-1] != len(ids):

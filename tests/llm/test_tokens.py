@@ -180,3 +180,20 @@ def test_workers_give_free_memory_back_when_a_task_ends():
     *_, _ = lean(run)([1])
     assert kept > 100
     assert held() - before < kept / 2
+
+
+def test_the_library_sees_some_words_a_call(library):
+    class Counted:
+        calls: list[int] = []
+
+        def encode_batch_fast(self, texts, **how):
+            self.calls.append(sum(1 + t.count(" ") for t in texts))
+            return library.encode_batch_fast(texts, **how)
+
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(3, 9))) for _ in range(30_000)] + [f"é{i}_ẛ̣" for i in range(10_000)]
+    encoder = packing.DocumentEncoder(WORDS)
+    encoder.tokenizer = Counted()
+    text = " ".join(words)
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids(library, text)
+    assert max(Counted.calls) <= 10_000
