@@ -359,8 +359,9 @@ def test_recordings_align_whoever_else_has_their_integers(spark):
 
 
 def test_links_of_all_documents_equal_those_found_by_hand(spark, sf):
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    found = {r["doc_id"]: r for r in queries.op1_chroma_fingerprints(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = {r["doc_id"]: r for r in audio.align_recordings(docs, frame=256, hop=64).collect()}
     ints = {i: audio.fingerprint((t or "").encode(), frame=256, hop=64).tolist() for i, t in texts.items() if not found[i]["is_copy"]}
     ints = {i: x for i, x in ints.items() if len(x) >= 4}
     assert len({*map(tuple, ints.values())}) == len(ints)
@@ -368,8 +369,49 @@ def test_links_of_all_documents_equal_those_found_by_hand(spark, sf):
     for i, x in ints.items():
         for pair in {*zip(x, x[1:])}:
             held.setdefault(pair, []).append(i)
-    links = sum(aligned_by_hand(ints[a], ints[b]) is not None for a, b in {(a, b) for ids in held.values() for a in ids for b in ids if a < b})
-    assert links == sum(r["n_links"] for r in found.values() if not r["is_copy"])
+    links = [(a, b) for a, b in {(a, b) for ids in held.values() for a in ids for b in ids if a < b} if aligned_by_hand(ints[a], ints[b])]
+    assert len(links) == sum(r["n_links"] for r in found.values() if not r["is_copy"])
+    classes = {r["doc_id"]: r for r in queries.op1_chroma_fingerprints(spark, sf).collect()}
+    assert {i: (r["class_id"], r["is_copy"]) for i, r in classes.items()} == {i: (r["class_id"], r["is_copy"]) for i, r in found.items()}
+    assert all(classes[a]["class_id"] == classes[b]["class_id"] for a, b in links)
+
+
+def hashed(ints):
+    """Rows (rid, ints) and (hash, rid) of lists of integers."""
+    return [(rid, x.astype("<u4").tobytes()) for rid, x in enumerate(ints)], [(int(h), rid) for rid, x in enumerate(ints) for h in np.unique(audio.neighbours(x)).view(np.int64)]
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_near_copies_meet_few_of_their_class(spark, monkeypatch, few):
+    monkeypatch.setattr(audio, "FEW", few)
+    r = np.random.default_rng(3)
+    ints = []
+    for n in (160, 40):
+        base = r.integers(0, 1 << 32, 24, dtype=np.uint32)
+        others = [np.concatenate([base[:5], r.integers(0, 1 << 32, 30, dtype=np.uint32)]) for _ in range(6)]
+        copies = [base.copy() for _ in range(n)]
+        for x in copies:
+            x[r.integers(5, 24, 4)] ^= np.uint32(0xFFFF)
+        ints += others[:3] + copies + others[3:]  # what holds the frequent pairs first aligns with nothing
+    rows, pairs = hashed(ints)
+    links = {(a, b) for b in range(len(ints)) for a in range(b + 1, len(ints)) if audio.alignment(ints[a], ints[b])}
+    different, each = spark.createDataFrame(rows, "rid bigint, ints binary"), spark.createDataFrame(pairs, "hash bigint, rid bigint")
+    every = {(x["rid"], x["other"]) for x in audio.all_links(different, each).collect()}
+    assert every == links and len(links) > 5000
+    found = [(x["rid"], x["other"]) for x in audio.class_links(different, each, group=16).collect()]
+    assert len(found) == len({*found}) and {*found} <= links and len(found) < len(links) / 4
+    named = [{x["a"]: x["b"] for x in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} for edges in (sorted(links), found)]
+    assert named[0] == named[1]
+
+
+def test_all_of_different_labels_that_share_hashes_meet(spark):
+    r = random.Random(6)
+    has = {rid: r.sample(range(6), 3) for rid in range(60)}
+    label = {rid: r.choice([0, 0, 0, 1, 2, rid]) for rid in has}
+    often = {h: sum(h in hs for hs in has.values()) for h in range(6)}
+    rows = [(h, rid, often[h], label[rid]) for rid, hs in has.items() for h in hs]
+    found = audio.apart(spark.createDataFrame(rows, "hash bigint, rid bigint, n bigint, label bigint"), group=7).collect()
+    assert sorted((x["rid"], x["other"]) for x in found) == sorted((a, b) for a in has for b in range(a) if label[a] != label[b] and len({*has[a]} & {*has[b]}) >= 2)
 
 
 @given(st.integers(0, 1 << 30), st.integers(4, 30), st.integers(4, 30), st.integers(0, 3))
